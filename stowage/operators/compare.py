@@ -105,19 +105,24 @@ def diff_summary(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def missing_by_folder(diffed: DataFrame, shown: int = FOLDERS_SHOWN) -> DataFrame:
-    """Missing files per folder: the first folders by name, and how many more there are."""
+    """Missing files per folder: the first folders by name, then one row counting the others."""
     folders = (
         diffed.filter(~F.col("present"))
         .groupBy(folder_label("file_path").alias("folder"))
         .agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
     )
-    total = folders.agg(F.count("*").alias("_folders"))
-    first = folders.orderBy("folder").limit(shown)
-    more = F.greatest(F.col("_folders") - shown, F.lit(0).cast("bigint"))
-    # ``total`` is one row; the join only carries the number over.
-    return first.join(F.broadcast(total)).select(
-        "folder", "files", "bytes", human_size("bytes").alias("size_text"), more.alias("more_folders")
+    first = folders.orderBy("folder").limit(shown).select(
+        "folder", "files", "bytes", human_size("bytes").alias("size_text"),
+        F.lit(None).cast("bigint").alias("more_folders"),
     )
+    rest = folders.agg(F.count("*").alias("_all")).filter(F.col("_all") > shown).select(
+        F.lit(None).cast("string").alias("folder"),
+        F.lit(None).cast("bigint").alias("files"),
+        F.lit(None).cast("bigint").alias("bytes"),
+        F.lit(None).cast("string").alias("size_text"),
+        (F.col("_all") - shown).alias("more_folders"),
+    )
+    return first.unionByName(rest)
 
 
 def diff_manifest(diffed: DataFrame) -> DataFrame:
