@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import file_name, parent_dir
 from ..functions.paths import exact_suffix, file_stem
+from ..sources.archives import TASKS_PER_CORE
 from .skew import attach
 
 # Numbered names run from _1 to _10000.
@@ -171,17 +172,19 @@ def resolve_destinations(
     occupied = (
         families.filter(F.col("_on_disk"))
         .join(verdict.filter(F.col("_members") > 1), ["_folder", "_family"], "left_semi")
-        .select(*in_family)
+        # No file of the plan, hence no place in its order; typed, so that ids keep their type.
+        .select(
+            *in_family,
+            *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in order_cols],
+            F.lit(None).cast("int").alias("_claim"),
+        )
     )
     claims = served.filter("_mixed").select(*in_family, *order_cols, "_claim")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*order_cols).schema)
-    family_rows = claims.unionByName(occupied, allowMissingColumns=True)
     simulated = (
-        family_rows.groupBy("_folder", "_family")
-        .applyInPandas(
-            _serve_family(order_cols),
-            f"{schema}, _given string",
-        )
+        claims.unionByName(occupied)
+        .groupBy("_folder", "_family")
+        .applyInPandas(_serve_family(order_cols), f"{schema}, _given string")
     )
     given = ranked.unionByName(simulated)
     columns = planned.columns
@@ -219,7 +222,9 @@ def write_library(
         "month", F.coalesce(F.date_format("file_date", "MM"), F.lit("00"))
     )
     ranges = [F.col("year"), F.col("month"), *[F.col(c) for c in order_cols]]
-    laid = dated.repartitionByRange(partitions, *ranges) if partitions else dated.repartitionByRange(*ranges)
+    # An explicit number: adaptive execution would merge partitions by their few metadata bytes.
+    parts = partitions or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    laid = dated.repartitionByRange(parts, *ranges)
     filled = read_content(laid) if read_content is not None else laid
     error = F.coalesce(F.col("error"), F.when(F.col("content").isNull(), F.lit("unreadable member")))
     outcome = filled.withColumn("error", error).withColumn(

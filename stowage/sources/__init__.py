@@ -1,0 +1 @@
+"""Sources and sinks: archives, directories, manifests, report tables."""
