@@ -111,15 +111,12 @@ def missing_by_folder(diffed: DataFrame, shown: int = FOLDERS_SHOWN) -> DataFram
         .groupBy(folder_label("file_path").alias("folder"))
         .agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
     )
+    none = F.lit(0).cast("bigint")
     first = folders.orderBy("folder").limit(shown).select(
-        "folder", "files", "bytes", human_size("bytes").alias("size_text"),
-        F.lit(None).cast("bigint").alias("more_folders"),
+        "folder", "files", "bytes", human_size("bytes").alias("size_text"), none.alias("more_folders")
     )
     rest = folders.agg(F.count("*").alias("_all")).filter(F.col("_all") > shown).select(
-        F.lit(None).cast("string").alias("folder"),
-        F.lit(None).cast("bigint").alias("files"),
-        F.lit(None).cast("bigint").alias("bytes"),
-        F.lit(None).cast("string").alias("size_text"),
+        F.lit("...").alias("folder"), none.alias("files"), none.alias("bytes"), F.lit("").alias("size_text"),
         (F.col("_all") - shown).alias("more_folders"),
     )
     return first.unionByName(rest)

@@ -46,12 +46,18 @@ def _prefix_dates(entries: DataFrame, dated: DataFrame) -> DataFrame:
 
 
 def with_sidecar_date(
-    entries: DataFrame, sidecars: DataFrame, spread_by: list[str], hot_rows: int | None = None
+    entries: DataFrame,
+    sidecars: DataFrame,
+    spread_by: list[str],
+    hot_rows: int | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``sidecar_date``: ``path.json``, then ``folder/stem.json``, then a long-name prefix match.
 
     Sidecars are looked up inside the same archive, and the first candidate
-    with a usable time wins. Every lookup is many-to-one.
+    with a usable time wins. Every lookup is many-to-one. ``catalog``: the plain
+    table behind ``entries``, to count the users of a prefix on, where
+    ``entries`` is costly to evaluate twice.
     """
     dated = sidecar_dates(sidecars)
     stem_json = F.concat(file_stem("file_path"), F.lit(".json"))
@@ -69,7 +75,7 @@ def with_sidecar_date(
     stem = dated.select("archive", F.col("json_path").alias("_stem"), F.col("taken").alias("_by_stem"))
     found = probing.join(exact, ["archive", "_exact"], "left").join(stem, ["archive", "_stem"], "left")
     found = attach(
-        found, _prefix_dates(entries, dated), ["_prefix", "archive"], spread_by, "_users", hot_rows
+        found, _prefix_dates(entries if catalog is None else catalog, dated), ["_prefix", "archive"], spread_by, "_users", hot_rows
     )
     return found.select(
         *entries.columns, F.coalesce("_by_exact", "_by_stem", "_by_prefix").alias("sidecar_date")
@@ -109,12 +115,14 @@ def resolve_dates(
     order_cols=("archive", "entry_ix"),
     use_sidecar: bool = True,
     hot_rows: int | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``file_date`` and ``date_source``.
 
     Priority: sidecar, image tag, stored date, archive time. With a cache,
     only members it does not know are looked up. ``use_sidecar=False`` is the
-    single-file rule, which never looks at sidecars.
+    single-file rule, which never looks at sidecars. ``catalog`` as in
+    :func:`with_sidecar_date`.
     """
     no_date = F.lit(None).cast("timestamp_ntz")
     spread_by = list(order_cols)
@@ -127,7 +135,7 @@ def resolve_dates(
         )
         todo = probed.filter(F.col("cached_date").isNull()).drop("cached_date")
     if use_sidecar and sidecars is not None:
-        todo = with_sidecar_date(todo, sidecars, spread_by, hot_rows)
+        todo = with_sidecar_date(todo, sidecars, spread_by, hot_rows, catalog)
     else:
         todo = todo.withColumn("sidecar_date", no_date)
     todo = with_exif_date(todo, exif_tags) if exif_tags is not None else todo.withColumn("exif_date", no_date)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..functions import propose_location
@@ -18,12 +20,18 @@ def analyze(
     order_cols=("archive", "entry_ix"),
     base: str = "extracted",
     hot_rows: int | None = None,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Catalog with duplicates found, dates resolved and locations proposed.
 
     Feeds every report and plan; write it once (``storage.settle``) when more
-    than one of them is needed.
+    than one of them is needed. ``cut`` writes the deduplicated catalog before
+    dates are looked up, which pays when a date cache splits it in two.
     """
-    dated = resolve_dates(entries, sidecars, exif_tags, cache, order_cols, hot_rows=hot_rows)
-    found = dedup(dated, mode, order_cols, hot_rows)
-    return found.withColumn("proposed_location", propose_location("file_path", "file_date", base))
+    found = dedup(entries, mode, order_cols, hot_rows)
+    if cut is not None:
+        found = cut(found)
+    dated = resolve_dates(
+        found, sidecars, exif_tags, cache, order_cols, hot_rows=hot_rows, catalog=entries
+    )
+    return dated.withColumn("proposed_location", propose_location("file_path", "file_date", base))

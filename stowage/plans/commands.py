@@ -43,7 +43,7 @@ def _catalog(
     entries = settle(read_archives(spark, input_dir).withColumn("content_key", metadata_key()), "entries")
     sidecars = settle(read_sidecars(entries), "sidecars")
     cache = state.dates.read() if state else None
-    catalog = settle(analyze_entries(entries, sidecars, exif_tags, cache), "catalog")
+    catalog = settle(analyze_entries(entries, sidecars, exif_tags, cache, cut=settle), "catalog")
     if state:
         state.dates.upsert(cache_rows(catalog, _now()))
     return catalog

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from ..functions import metadata_key
 
@@ -41,7 +41,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, path: str, order_cols) -> None
     keyed = batch if "content_key" in batch.columns else batch.withColumn("content_key", metadata_key())
     firsts = first_per_key(keyed, list(order_cols))
     if batch_id > 0:
-        stored = StructType([*keyed.schema.fields]).add("batch_id", "bigint")
+        stored = StructType([*keyed.schema.fields]).add("batch_id", LongType())
         earlier = spark.read.schema(stored).parquet(path).filter(F.col("batch_id") < batch_id)
         firsts = new_keys(firsts, earlier)
     firsts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -77,5 +77,5 @@ def read_ingested(spark: SparkSession, path: str, schema: StructType) -> DataFra
     """The ingested catalog."""
     stored = StructType([*schema.fields])
     if "content_key" not in stored.fieldNames():
-        stored = stored.add("content_key", "string")
-    return spark.read.schema(stored.add("batch_id", "bigint")).parquet(path)
+        stored = stored.add("content_key", StringType())
+    return spark.read.schema(stored.add("batch_id", LongType())).parquet(path)

@@ -54,6 +54,7 @@ def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (doc % 24).cast("int").alias("zip_h"),
         (chars % 60).cast("int").alias("zip_mi"),
         F.lit(0).alias("zip_s"),
+        doc.alias("file_crc"),
         F.sha2("text", 256).alias("content_hash"),
         F.concat(F.octet_length("text").cast("string"), F.lit("_"), F.sha2("text", 256)).alias("content_key"),
         F.col("text").cast("binary").alias("content"),
@@ -165,3 +166,42 @@ def date_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 1, F.date_add(F.lit("2001-01-01").cast("date"), (F.col("entry_ix") % 3650).cast("int")).cast("timestamp_ntz")).alias("extracted_date"),
         F.lit("2024-06-01").cast("timestamp_ntz").alias("created_at"),
     )
+
+
+def hash_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached keys of the labelled library files: some on time, some late, some of another size."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
+    )
+    doc_id = F.regexp_extract("file_path", r"/(\d+)_", 1).cast("bigint")
+    joined = library_files(spark, sf_dir).withColumn("doc_id", doc_id).join(labels, "doc_id")
+    late = F.when(F.col("quality") == 1, F.expr("INTERVAL '0.5' SECOND")).otherwise(F.expr("INTERVAL '1.5' SECOND"))
+    return joined.select(
+        "root", "file_path", (F.col("file_size") + F.col("toxic")).alias("file_size"),
+        (F.col("mtime") + late).alias("mtime"), F.concat(F.lit("cached_"), "content_key").alias("content_key"),
+        F.lit("2024-06-01").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last scans of the library's language folders, as if all documents had been there."""
+    docs = doc_entries(spark, sf_dir)
+    return docs.groupBy(F.col("lang").alias("root")).agg(
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("last_scanned"), F.count("*").alias("file_count")
+    )
+
+
+def kept_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that still exist: those with a document labelled as good."""
+    good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("entry_ix"))
+    return doc_entries(spark, sf_dir).join(good, "entry_ix", "left_semi").select("archive").distinct()
+
+
+def occupied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destinations already on disk: one per order, named after its customer."""
+    return table(spark, sf_dir, "orders").select(
+        F.concat(
+            F.lit("out/"), F.date_format("o_orderdate", "yyyy/MM/"), F.lit("IMG_"),
+            F.col("o_custkey").cast("string"), F.lit("x1.jpg"),
+        ).alias("destination")
+    ).distinct()
