@@ -89,7 +89,7 @@ def _families(names: DataFrame) -> DataFrame:
     return named.join(tops, ["_folder", "_name"], "left").withColumn("_family", F.coalesce("_top", "_name")).drop("_top")
 
 
-def _serve_family(order_cols: list[str]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _serve_family(order_cols: list[str], last_number: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def serve(key: tuple, family: pd.DataFrame) -> pd.DataFrame:
         used = set(family.loc[family["_claim"].isna(), "_name"])
         claims = family[family["_claim"].notna()].sort_values(order_cols, kind="stable")
@@ -99,10 +99,10 @@ def _serve_family(order_cols: list[str]) -> Callable[[tuple, pd.DataFrame], pd.D
             choice = name
             if name in used:
                 number = next_number.get(name, 1)
-                while number <= LAST_NUMBER and f"{stem}_{number}{suffix}" in used:
+                while number <= last_number and f"{stem}_{number}{suffix}" in used:
                     number += 1
                 next_number[name] = number
-                choice = f"{stem}_{number}{suffix}" if number <= LAST_NUMBER else None
+                choice = f"{stem}_{number}{suffix}" if number <= last_number else None
             used.add(choice)
             given.append(None if choice is None else f"{key[0]}/{choice}")
         return claims[order_cols].assign(_given=given)
@@ -115,6 +115,7 @@ def resolve_destinations(
     taken: DataFrame | None = None,
     order_cols=("archive", "entry_ix"),
     hot_rows: int | None = None,
+    last_number: int = LAST_NUMBER,
 ) -> DataFrame:
     """Give every file a free name at its ``location``: adds ``destination`` and ``error``.
 
@@ -159,13 +160,13 @@ def resolve_destinations(
             *order_cols,
         )
         .withColumn("_claim", F.row_number().over(by_name))
-        .filter(F.col("_claim") <= LAST_NUMBER + 1)
+        .filter(F.col("_claim") <= last_number + 1)
     )
     number = F.col("_claim") - 1 + F.col("_on_disk").cast("int")
     ranked = served.filter(~F.col("_mixed")).select(
         *order_cols,
         F.when(number == 0, F.concat("_folder", F.lit("/"), "_name"))
-        .when(number <= LAST_NUMBER, _numbered("_folder", "_stem", "_suffix", number))
+        .when(number <= last_number, _numbered("_folder", "_stem", "_suffix", number))
         .alias("_given"),
     )
     in_family = ["_folder", "_family", "_name", "_stem", "_suffix"]
@@ -184,7 +185,7 @@ def resolve_destinations(
     simulated = (
         claims.unionByName(occupied)
         .groupBy("_folder", "_family")
-        .applyInPandas(_serve_family(order_cols), f"{schema}, _given string")
+        .applyInPandas(_serve_family(order_cols, last_number), f"{schema}, _given string")
     )
     given = ranked.unionByName(simulated)
     columns = planned.columns

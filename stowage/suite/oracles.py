@@ -296,7 +296,7 @@ WHERE extracted_date IS NOT NULL
 """)
 oracle("date_cache_upsert", "docres dcache", """
 SELECT archive, file_path, file_size, file_crc, file_date AS extracted_date, TIMESTAMP '2024-07-01' AS created_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY archive, file_path ORDER BY file_crc DESC, file_size DESC) AS r
+  SELECT *, row_number() OVER (PARTITION BY archive, file_path ORDER BY file_size DESC, file_crc DESC) AS r
   FROM docres WHERE date_source <> 'cache') WHERE r = 1
 UNION ALL
 SELECT * FROM dcache d WHERE NOT EXISTS (
@@ -430,9 +430,8 @@ oracle("compare_pairs", "docx firsts", f"SELECT {DOC}, file_size, match_path FRO
 oracle("compare_only_left", "docx firsts", f"""
 SELECT {DOC}, file_path, file_size FROM docx WHERE content_key NOT IN (SELECT content_key FROM firsts)
 """)
-oracle("compare_only_right", "docx dir", """
-SELECT root, file_path, file_size FROM dir
-WHERE content_key NOT IN (SELECT content_key FROM docx WHERE archive LIKE 'zz_copy_%')
+oracle("compare_only_right", "docx dir", f"""
+SELECT {DOC}, file_size FROM docx d WHERE NOT EXISTS (SELECT 1 FROM dir l WHERE l.content_key = d.content_key)
 """)
 oracle("compare_summary", "docx dir", """
 SELECT (SELECT count(*) FROM docx) AS total_left, (SELECT count(*) FROM dir) AS total_right,

@@ -438,10 +438,9 @@ def compare_only_left(spark, sf):
 
 @query
 def compare_only_right(spark, sf):
-    # The spare copies are the archive side: the library holds much that they lack.
-    left = _docs2(spark, sf).filter(F.col("archive").startswith("zz_copy_")).drop("content")
-    right = v.library_files(spark, sf).drop("content")
-    return cmp.only_right(left, right, ["root", "file_path"]).select("root", "file_path", "file_size")
+    # The other way round: the library on the left, the members on the right.
+    left, right = v.library_files(spark, sf).drop("content"), _docs2(spark, sf).drop("content")
+    return cmp.only_right(left, right, MEMBER).select(*MEMBER, "file_size")
 
 
 @query
