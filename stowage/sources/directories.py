@@ -54,7 +54,9 @@ class FileTreeReader(DataSourceReader):
             level = below
         return [Folder(p, False) for p in opened] + [Folder(p, True) for p in level]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folder | None) -> Iterator[tuple]:
+        if partition is None:  # no such folder: nothing to share out
+            return
         system, root = open_fs(self.path)
         base = root.rstrip("/") + "/"
         found = system.get_file_info(fs.FileSelector(partition.path, recursive=partition.recursive))
