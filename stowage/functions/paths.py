@@ -47,26 +47,19 @@ def folder_label(path: Column | str) -> Column:
     return F.when(parent == ".", F.lit("(root)")).otherwise(parent)
 
 
-def _raw_suffix(name: Column) -> Column:
-    tail = F.substring_index(name, ".", -1)
-    has_suffix = (F.length(tail) > 0) & (F.length(tail) < F.length(name) - 1)
-    return F.when(has_suffix, F.concat(F.lit("."), tail)).otherwise(F.lit(""))
-
-
 def file_suffix(path: Column | str) -> Column:
     """Lower-case extension with its dot; empty for dot-files and trailing dots."""
-    return F.lower(_raw_suffix(file_name(path)))
+    return F.lower(exact_suffix(path))
 
 
 def file_stem(path: Column | str) -> Column:
     """File name without its extension."""
-    name = file_name(path)
-    return F.substring(name, F.lit(1), F.length(name) - F.length(_raw_suffix(name)))
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+\z", "")
 
 
 def exact_suffix(path: Column | str) -> Column:
     """Extension in its original case."""
-    return _raw_suffix(file_name(path))
+    return F.regexp_extract(_col(path), r"[^/](\.[^./]+)\z", 1)
 
 
 def normalized_name(path: Column | str) -> Column:
@@ -78,12 +71,8 @@ def normalized_name(path: Column | str) -> Column:
 
 def file_type(path: Column | str) -> Column:
     """image / video / audio / document / data / other, by extension."""
-    suffix = file_suffix(path)
-    chain = None
-    for label, extensions in FILE_TYPES.items():
-        test = suffix.isin(extensions)
-        chain = F.when(test, F.lit(label)) if chain is None else chain.when(test, F.lit(label))
-    return chain.otherwise(F.lit("other"))
+    known = [F.lit(v) for label, exts in FILE_TYPES.items() for ext in exts for v in (ext, label)]
+    return F.coalesce(F.try_element_at(F.create_map(*known), file_suffix(path)), F.lit("other"))
 
 
 def display_path(archive: Column | str, path: Column | str) -> Column:

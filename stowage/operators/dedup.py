@@ -18,6 +18,11 @@ def _with_key(entries: DataFrame) -> DataFrame:
     return entries.withColumn("content_key", metadata_key())
 
 
+def _name_key() -> Column:
+    # Never NULL, so that joins on it need no not-null filter, which would evaluate it twice.
+    return F.coalesce(normalized_name("file_path"), F.lit(""))
+
+
 def name_groups(entries: DataFrame, order_cols=ORDER) -> DataFrame:
     """Groups of equal size and normalized name with at least two members.
 
@@ -25,7 +30,7 @@ def name_groups(entries: DataFrame, order_cols=ORDER) -> DataFrame:
     """
     return (
         entries.select(
-            "file_size", normalized_name("file_path").alias("norm_name"), F.struct(*order_cols).alias("_ord")
+            "file_size", _name_key().alias("norm_name"), F.struct(*order_cols).alias("_ord")
         )
         .groupBy("file_size", "norm_name")
         .agg(F.count("*").alias("_n"), F.min("_ord").alias("_group_first"))
@@ -34,7 +39,7 @@ def name_groups(entries: DataFrame, order_cols=ORDER) -> DataFrame:
 
 
 def _stage_one(entries: DataFrame, order_cols, hot_rows: int | None) -> DataFrame:
-    named = entries.withColumn("norm_name", normalized_name("file_path"))
+    named = entries.withColumn("norm_name", _name_key())
     return attach(
         named, name_groups(entries, order_cols), ["file_size", "norm_name"], list(order_cols), "_n", hot_rows
     )
@@ -75,12 +80,12 @@ def dedup(
         staged = _stage_one(keyed, order_cols, hot_rows)
         candidate = F.col("_n").isNotNull()
         rank = F.struct(F.col("_group_first"), place)
-        staged = staged.withColumn(
-            "dedup_key", F.when(candidate, F.col("content_key")).otherwise(_order_text(order_cols))
-        )
+        # A member whose content is unknown (no key) equals no other.
+        known = F.when(candidate, F.col("content_key"))
+        staged = staged.withColumn("dedup_key", F.coalesce(known, _order_text(order_cols)))
         pool = staged.filter(candidate)
     else:
-        staged = keyed.withColumn("dedup_key", F.col("content_key"))
+        staged = keyed.withColumn("dedup_key", F.coalesce("content_key", _order_text(order_cols)))
         rank = F.struct(place)
         pool = staged
     # The same columns describe a member here and at the comparison below, so

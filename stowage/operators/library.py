@@ -29,19 +29,20 @@ def _numbered(folder: str, stem: str, suffix: str, number: Column) -> Column:
     )
 
 
-def _names(planned: DataFrame, taken: DataFrame | None) -> DataFrame:
+def _names(wants: DataFrame, taken: DataFrame | None) -> DataFrame:
     """One row per (folder, name): files that want it, and whether it is on disk."""
-    wanted = planned.groupBy("_folder", "_name").agg(F.count("*").alias("_want"))
-    if taken is None:
-        return wanted.withColumn("_on_disk", F.lit(False))
-    disk = taken.select(
-        parent_dir("destination").alias("_folder"), file_name("destination").alias("_name")
-    ).distinct()
-    return wanted.join(disk.withColumn("_disk", F.lit(True)), ["_folder", "_name"], "full").select(
-        "_folder",
-        "_name",
-        F.coalesce("_want", F.lit(0).cast("bigint")).alias("_want"),
-        F.col("_disk").isNotNull().alias("_on_disk"),
+    claims = wants.select("_folder", "_name", F.lit(1).alias("_want"), F.lit(False).alias("_on_disk"))
+    if taken is not None:
+        claims = claims.unionByName(
+            taken.select(
+                F.coalesce(parent_dir("destination"), F.lit("")).alias("_folder"),
+                F.coalesce(file_name("destination"), F.lit("")).alias("_name"),
+                F.lit(0).alias("_want"),
+                F.lit(True).alias("_on_disk"),
+            )
+        )
+    return claims.groupBy("_folder", "_name").agg(
+        F.sum("_want").alias("_want"), F.bool_or("_on_disk").alias("_on_disk")
     )
 
 
@@ -130,55 +131,49 @@ def resolve_destinations(
     only that many rows per name enter a window or a family, however many want it.
     """
     order_cols = list(order_cols)
-    rows = planned.withColumn("_folder", parent_dir("location")).withColumn("_name", file_name("location"))
-    names = _names(rows, taken)
-    families = _families(names)
+    # Never NULL, so that joins on them need no not-null filters.
+    rows = planned.withColumn("_folder", F.coalesce(parent_dir("location"), F.lit(""))).withColumn(
+        "_name", F.coalesce(file_name("location"), F.lit(""))
+    )
+    wants = rows.select("_folder", "_name", *order_cols)
     busy = F.col("_want") + F.col("_on_disk").cast("bigint") > 1
-    verdict = (
-        families.groupBy("_folder", "_family")
-        .agg(F.count("*").alias("_members"), F.max(busy).alias("_clash"))
+    family = Window.partitionBy("_folder", "_family")
+    contested = (
+        _families(_names(wants, taken))
+        .withColumn("_mixed", F.count("*").over(family) > 1)
+        .withColumn("_clash", F.max(busy).over(family))
         .filter("_clash")
+        .drop("_clash")
     )
-    facts = (
-        families.filter(F.col("_want") > 0)
-        .join(verdict, ["_folder", "_family"])
-        .select(
-            "_folder", "_name", "_stem", "_suffix", "_family", "_want", "_on_disk",
-            (F.col("_members") > 1).alias("_mixed"),
-        )
+    facts = contested.filter(F.col("_want") > 0)
+    rivals = attach(wants, facts, ["_name", "_folder"], order_cols, "_want", hot_rows).filter(
+        F.col("_family").isNotNull()
     )
-    marked = attach(rows, facts, ["_name", "_folder"], order_cols, "_want", hot_rows)
-    free = marked.filter(F.col("_family").isNull())
-    contested = marked.filter(F.col("_family").isNotNull())
 
     # Serve at most as many files per name as there are names to give. The
     # limit works inside the map tasks, before the rows of a name meet.
     by_name = Window.partitionBy("_folder", "_name").orderBy(*order_cols)
     served = (
-        contested.select(
-            "_folder", "_name", "_stem", "_suffix", "_family", "_want", "_on_disk", "_mixed",
-            *order_cols,
+        rivals.select(
+            "_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols
         )
         .withColumn("_claim", F.row_number().over(by_name))
         .filter(F.col("_claim") <= last_number + 1)
     )
+    # An unmixed family is the name itself.
     number = F.col("_claim") - 1 + F.col("_on_disk").cast("int")
     ranked = served.filter(~F.col("_mixed")).select(
         *order_cols,
-        F.when(number == 0, F.concat("_folder", F.lit("/"), "_name"))
+        F.when(number == 0, F.concat("_folder", F.lit("/"), "_family"))
         .when(number <= last_number, _numbered("_folder", "_stem", "_suffix", number))
         .alias("_given"),
     )
-    in_family = ["_folder", "_family", "_name", "_stem", "_suffix"]
-    occupied = (
-        families.filter(F.col("_on_disk"))
-        .join(verdict.filter(F.col("_members") > 1), ["_folder", "_family"], "left_semi")
+    in_family = ["_folder", "_family", "_name", "_stem", "_suffix", "_on_disk"]
+    occupied = contested.filter(F.col("_on_disk") & F.col("_mixed")).select(
+        *in_family,
         # No file of the plan, hence no place in its order; typed, so that ids keep their type.
-        .select(
-            *in_family,
-            *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in order_cols],
-            F.lit(None).cast("int").alias("_claim"),
-        )
+        *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in order_cols],
+        F.lit(None).cast("int").alias("_claim"),
     )
     claims = served.filter("_mixed").select(*in_family, *order_cols, "_claim")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*order_cols).schema)
@@ -187,17 +182,20 @@ def resolve_destinations(
         .groupBy("_folder", "_family")
         .applyInPandas(_serve_family(order_cols, last_number), f"{schema}, _given string")
     )
-    given = ranked.unionByName(simulated)
-    columns = planned.columns
-    numbered = contested.join(given, order_cols, "left").select(
-        *columns,
-        F.col("_given").alias("destination"),
-        F.when(F.col("_given").isNull(), _crowded(F.col("location"))).alias("error"),
+    given = ranked.unionByName(simulated).withColumn("_served", F.lit(True))
+
+    # Files past the last number were not served at all; only names wanted that often have any.
+    crowded = facts.filter(F.col("_want") > last_number + 1).select(
+        "_folder", "_name", "_want", F.lit(True).alias("_crowded")
     )
-    unchanged = free.select(
-        *columns, F.col("location").alias("destination"), F.lit(None).cast("string").alias("error")
+    placed = rows.join(given, order_cols, "left")
+    placed = attach(placed, crowded, ["_name", "_folder"], order_cols, "_want", hot_rows)
+    free = F.col("_served").isNull() & F.col("_crowded").isNull()
+    return placed.select(
+        *planned.columns,
+        F.when(free, F.col("location")).otherwise(F.col("_given")).alias("destination"),
+        F.when(~free & F.col("_given").isNull(), _crowded(F.col("location"))).alias("error"),
     )
-    return unchanged.unionByName(numbered)
 
 
 def write_library(
