@@ -127,8 +127,8 @@ def resolve_destinations(
     Three cases, cheapest first: nobody else wants the name; several files want
     it but no numbered name is in the way (the number is then the rank, a
     built-in window); numbered names already exist beside it (served in order,
-    one small family of names per task). A name holds at most 10,001 files, so
-    only that many rows per name enter a window or a family, however many want it.
+    one family of names per task). A name holds at most 10,001 files, so only
+    that many rows per name are ranked in one place, however many want it.
     """
     order_cols = list(order_cols)
     # Never NULL, so that joins on them need no not-null filters.
@@ -150,15 +150,23 @@ def resolve_destinations(
         F.col("_family").isNotNull()
     )
 
-    # Serve at most as many files per name as there are names to give. The
-    # limit works inside the map tasks, before the rows of a name meet.
+    # Serve at most as many files per name as there are names to give. A name
+    # wanted more often is cut in two steps: first inside slices of its rows,
+    # as many as keep a slice and the survivors of all slices equally small.
+    most = last_number + 1
+    slices = F.ceil(F.sqrt(F.col("_want") / most)).cast("bigint")
+    in_slice = Window.partitionBy("_folder", "_name", "_slice").orderBy(*order_cols)
     by_name = Window.partitionBy("_folder", "_name").orderBy(*order_cols)
     served = (
         rivals.select(
-            "_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols
+            "_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols,
+            F.pmod(F.xxhash64(*order_cols), slices).alias("_slice"),
         )
+        .withColumn("_place", F.row_number().over(in_slice))
+        .filter(F.col("_place") <= most)
         .withColumn("_claim", F.row_number().over(by_name))
-        .filter(F.col("_claim") <= last_number + 1)
+        .filter(F.col("_claim") <= most)
+        .drop("_slice", "_place")
     )
     # An unmixed family is the name itself.
     number = F.col("_claim") - 1 + F.col("_on_disk").cast("int")

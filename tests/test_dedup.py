@@ -158,3 +158,12 @@ def test_no_single_partition_exchange_and_no_content(spark, tmp_path):
     plan = dedup(spark.read.parquet(path)).drop("content")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" not in plan
     assert all("content:binary" not in line for line in plan.splitlines() if "ReadSchema" in line)
+
+
+def test_source_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    spark.createDataFrame(random_catalog(3), SCHEMA).write.parquet(path)
+    found = dedup_counts(dedup(spark.read.parquet(path)))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 2 and plan.count("FileScan") <= 3

@@ -67,6 +67,11 @@ def test_original_locations(catalog):
     assert rp.original_locations(catalog, names=1).first().more_names == 1
 
 
+def test_names_are_limited_before_the_shuffle(catalog):
+    plan = rp.original_locations(catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_breakdowns(catalog):
     types = {r.file_type: (r.files, r.bytes) for r in rp.type_breakdown(catalog).collect()}
     assert types == {"image": (4, 40), "video": (3, 90), "document": (1, 5)}
