@@ -18,6 +18,7 @@ from ..operators import reconcile as rc
 from ..operators import report as rp
 from ..operators import state as st
 from ..plans.analyze import analyze
+from ..session import ship
 from ..sources import archives as ar
 from ..sources import directories as di
 from ..sources import manifests as mf
@@ -36,6 +37,7 @@ MEMBER = ["archive", "entry_ix"]
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
         return fn(spark, sf_dir)
 
     REGISTRY[fn.__name__] = run
