@@ -5,16 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stowage.llm import rules
+from stowage.llm import bpe, langid, rules, secrets
 from stowage.llm.common import read
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; the package that holds it is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *secrets.counts("base"), F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"),
+        secrets.joined("found").alias("spans"), "n_layers",
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary(), with_decoded=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op5_language_id": op5_language_id,
+    "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
