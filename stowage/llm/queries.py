@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, langid, rules, secrets
+from stowage.llm import bpe, langid, quality, rules, secrets, warc
 from stowage.llm.common import read
+from stowage.storage import scratch_path
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +19,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path)
+    # A response's figures come from the payload read back, a revisit's from its headers.
+    return records.select(
+        "page_id", F.coalesce(F.octet_length("payload").cast("bigint"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     return found.select(
@@ -26,6 +38,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -43,7 +59,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_language_id": op5_language_id,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
