@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, langid, quality, rules, secrets, warc
+from stowage.llm import bpe, decontaminate, langid, quality, rules, secrets, setsketch, warc
 from stowage.llm.common import read
 from stowage.storage import scratch_path
 
@@ -42,10 +42,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary(), with_decoded=True)
     return coded.select(
@@ -62,7 +70,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_language_id": op5_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
