@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, decontaminate, langid, quality, rules, secrets, setsketch, warc
+from stowage.llm import bpe, decontaminate, langid, phrases, quality, rules, secrets, setsketch, suffixes, warc
 from stowage.llm.common import read
 from stowage.storage import scratch_path
 
@@ -50,6 +50,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = phrases.remove_repeated_phrases(read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_words", phrases.n_removed().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -66,15 +73,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_bytes", suffixes.n_removed().alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language_id": op5_language_id,
+    "op6_phrase_automata": op6_phrase_automata,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 #: DuckDB statements for the queries that SQL can express.
