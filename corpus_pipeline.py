@@ -20,7 +20,7 @@ from stowage.llm.queries import vocabulary
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``; null ids stay."""
     ids = gone.select(F.col("doc_id").cast("long").alias("_gone")).filter("_gone IS NOT NULL").distinct()
-    return docs.join(ids, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

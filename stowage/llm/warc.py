@@ -225,7 +225,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             groups[-1].append(name)
             size += n
-        return [Files(g) for g in groups]
+        return [Files(g) for g in groups or [[]]]
 
     def passes(self, row: dict) -> bool:
         for column, how, value in self.wanted:

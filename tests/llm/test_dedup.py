@@ -1,0 +1,132 @@
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from stowage.llm import phrases, setsketch, suffixes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingle_set(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_near_duplicates_equal_brute_force(docs, corpus):
+    known = [(i, shingle_set(t)) for i, t, *_ in corpus if i is not None and i != 118]
+    least = {i: i for i, _ in known}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for p, (i, s) in enumerate(known):
+        for j, u in known[:p]:
+            if s and u and 100 * len(s & u) >= 85 * len(s | u):
+                a, b = find(i), find(j)
+                least[max(a, b)] = min(a, b)
+    got = setsketch.near_duplicates(docs.filter("doc_id IS NULL OR doc_id <> 118")).collect()
+    assert len(got) == len(known) + 1
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert r.component_id == find(r.doc_id), r
+            assert r.kept == (r.doc_id == r.component_id)
+            assert r.n_shingles == len(dict(known)[r.doc_id])
+
+
+def test_cross_pairs_reach_what_leaders_miss(spark, docs, monkeypatch):
+    want = {tuple(r) for r in setsketch.near_duplicates(docs).collect()}
+    monkeypatch.setattr(setsketch, "STAR_ROUNDS", 0)
+    assert {tuple(r) for r in setsketch.near_duplicates(docs).collect()} == want
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.comp for r in setsketch.components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_registers_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = x[:2000], x[400:2400]
+    ra, rb = setsketch.registers(a), setsketch.registers(b)
+    assert (np.maximum(ra, rb) == setsketch.registers(np.union1d(a, b))).all()
+    got = setsketch.likeliest(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([2000.0]), np.array([2000.0]))
+    assert abs(got[0] - 1600 / 2400) < 0.15
+
+
+def brute_words(corpus):
+    split = [(i, WORD.findall(t or "")) for i, t, *_ in corpus]
+    n = Counter(tuple(w[p : p + 35]) for _, w in split for p in range(len(w) - 34))
+    out = Counter()
+    for i, w in split:
+        gone = set()
+        for p in range(len(w) - 34):
+            if n[tuple(w[p : p + 35])] > 1:
+                gone.update(range(p, p + 35))
+        out[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    return out
+
+
+def brute_bytes(corpus):
+    raw = [(i, (t or "").encode(), i if i is not None else 1 << 62) for i, t, *_ in corpus]
+    least = defaultdict(lambda: 1 << 63)
+    for _, b, k in raw:
+        for p in range(len(b) - 49):
+            least[b[p : p + 50]] = min(least[b[p : p + 50]], k)
+    out = Counter()
+    for i, b, k in raw:
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if least[b[p : p + 50]] < k:
+                gone[p : p + 50] = b"\1" * 50
+        runs = len([x for x in bytes(gone).split(b"\0") if x])
+        out[i, len(b), sum(gone), runs, bytes(c for c, g in zip(b, gone, strict=True) if not g)] += 1
+    return out
+
+
+def test_repeated_phrases_equal_brute_force(docs, corpus):
+    got = phrases.remove_repeated_phrases(docs).collect()
+    total = lambda r: sum(b - a for a, b in zip(r.starts, r.ends, strict=True))
+    assert Counter((r.doc_id, r.n_words, total(r), r.kept) for r in got) == brute_words(corpus)
+
+
+def test_repeated_bytes_equal_brute_force(docs, corpus):
+    got = suffixes.remove_repeated_bytes(docs).collect()
+    total = lambda r: sum(b - a for a, b in zip(r.starts, r.ends, strict=True))
+    assert Counter((r.doc_id, r.n_bytes, total(r), len(r.starts), bytes(r.kept)) for r in got) == brute_bytes(corpus)
+
+
+def test_passages_found_in_several_automata(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 40)
+    words = [b"w%d" % i for i in range(200)]
+    got = phrases.locate([words[:36], words[100:140]], [words, words[101:150]])
+    assert got == [{0, 1, *range(100, 106)}, set()]
+
+
+def test_merge_sort_orders_suffixes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 600).astype(np.uint8)
+    starts = np.sort(rng.choice(560, 200, replace=False))
+    ends = starts + rng.integers(1, 40, 200)
+    text = suffixes.Hashed(data)
+    order = suffixes.merge_sort(text, starts, ends)
+    cut = [data[a:b].tobytes() for a, b in zip(starts[order], ends[order], strict=True)]
+    assert cut == sorted(cut)
+    same = text.common(starts[:-1], starts[1:], np.minimum(ends[:-1] - starts[:-1], ends[1:] - starts[1:]))
+    for a, b, c, d, n in zip(starts, ends, starts[1:], ends[1:], same, strict=False):
+        x, y = data[a:b].tobytes(), data[c:d].tobytes()
+        assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
+
+
+@pytest.mark.parametrize("run", [setsketch.near_duplicates, phrases.remove_repeated_phrases, suffixes.remove_repeated_bytes])
+def test_empty_tables_and_clashing_columns(nothing, clashing, docs, run):
+    assert run(nothing).count() == 0
+    key = lambda df: Counter(map(repr, df.collect()))
+    assert key(run(clashing)) == key(run(docs))
