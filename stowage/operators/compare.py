@@ -12,11 +12,6 @@ from .skew import attach
 FOLDERS_SHOWN = 20
 
 
-def with_strategy(df: DataFrame, strategy: str) -> DataFrame:
-    """Tag a keyed table with the strategy its keys were made with."""
-    return df.withColumn("key_strategy", F.lit(strategy))
-
-
 def require_same_strategy(left: str, right: str) -> None:
     """Keys of different strategies never match; refuse to compare them."""
     if left != right:
@@ -27,8 +22,13 @@ def match(
     left: DataFrame, right: DataFrame, spread_by: list[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Left rows with ``match_path``, the first right file of equal content, or NULL."""
-    index = directory_index(right).select("content_key", F.col("first_path").alias("match_path"))
-    return attach(left, index, ["content_key"], spread_by, None, hot_rows)
+    index = directory_index(right).select(
+        F.col("content_key").alias("_match_key"), F.col("first_path").alias("match_path")
+    )
+    # Unreadable files have no key and match nothing; a made-up key each keeps them from meeting in one task.
+    none = F.concat(F.lit("\x02"), F.xxhash64(*spread_by).cast("string"))
+    keyed = left.withColumn("_match_key", F.coalesce("content_key", none))
+    return attach(keyed, index, ["_match_key"], spread_by, None, hot_rows).drop("_match_key")
 
 
 def compare_pairs(left: DataFrame, right: DataFrame, spread_by: list[str], hot_rows=None) -> DataFrame:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import file_name, parent_dir
 from ..functions.paths import exact_suffix, file_stem
 from ..sources.archives import TASKS_PER_CORE
+from ..storage import names_in, settle
 from .skew import attach
 
-# Numbered names run from _1 to _10000.
-LAST_NUMBER = 10_000
-NUMBER_TAIL = r"_(?:[1-9]\d{0,3}|10000)$"
-NUMBER_CHAIN = r"((?:_(?:[1-9]\d{0,3}|10000))+)$"
+# Numbered names end in _1, _2 and so on; a number has no leading zero.
+NUMBER_TAIL = r"_[1-9]\d{0,17}$"
+NUMBER_CHAIN = r"((?:_[1-9]\d{0,17})+)$"
 
 
 def _crowded(location: Column) -> Column:
@@ -90,45 +91,77 @@ def _families(names: DataFrame) -> DataFrame:
     return named.join(tops, ["_folder", "_name"], "left").withColumn("_family", F.coalesce("_top", "_name")).drop("_top")
 
 
-def _serve_family(order_cols: list[str], last_number: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def serve(key: tuple, family: pd.DataFrame) -> pd.DataFrame:
-        used = set(family.loc[family["_claim"].isna(), "_name"])
-        claims = family[family["_claim"].notna()].sort_values(order_cols, kind="stable")
-        next_number: dict[str, int] = {}
-        given = []
-        for name, stem, suffix in zip(claims["_name"], claims["_stem"], claims["_suffix"], strict=True):
-            choice = name
-            if name in used:
-                number = next_number.get(name, 1)
-                while number <= last_number and f"{stem}_{number}{suffix}" in used:
-                    number += 1
-                next_number[name] = number
-                choice = f"{stem}_{number}{suffix}" if number <= last_number else None
-            used.add(choice)
-            given.append(None if choice is None else f"{key[0]}/{choice}")
-        return claims[order_cols].assign(_given=given)
+def _serve_families(
+    order_cols: list[str], last_number: int | None
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Serve families one after another from rows sorted by family, names on disk first, then by order.
+
+    Only the names used in the current family are held.
+    """
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, next_number = None, set(), {}
+        for pdf in batches:
+            given, wanted = [], pdf["_claim"].notna()
+            columns = ["_folder", "_family", "_name", "_stem", "_suffix"]
+            for folder, family, name, stem, suffix, claims in zip(*[pdf[c] for c in columns], wanted, strict=True):
+                if (folder, family) != current:
+                    current, used, next_number = (folder, family), set(), {}
+                choice = name
+                if claims and name in used:
+                    number = next_number.get(name, 1)
+                    while (last_number is None or number <= last_number) and f"{stem}_{number}{suffix}" in used:
+                        number += 1
+                    next_number[name] = number
+                    choice = None if last_number is not None and number > last_number else f"{stem}_{number}{suffix}"
+                used.add(choice)
+                given.append(None if choice is None else f"{folder}/{choice}")
+            yield pdf[order_cols].assign(_given=given)[wanted]
 
     return serve
 
 
+def _ranked(rivals: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Adds ``_claim``, the rank of a row among those that want its name, however many there are.
+
+    Rows are range-partitioned by name and order, so a crowded name spans many
+    slices. Ranks count inside a slice; rows of the same name in the slices
+    before are added. A slice border splits one name at most, so there are
+    fewer of those sums than slices.
+    """
+    name = ["_folder", "_name"]
+    sliced = rivals.repartitionByRange(*name, *order_cols).withColumn("_slice", F.spark_partition_id())
+    ranged = settle(sliced, "rivals")
+    before = Window.partitionBy(*name).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        ranged.groupBy(*name, "_slice").agg(F.count("*").alias("_rows"))
+        .withColumn("_before", F.sum("_rows").over(before))
+        .filter("_before > 0")
+        .drop("_rows")
+    )
+    inside = Window.partitionBy(*name, "_slice").orderBy(*order_cols)
+    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(sums), [*name, "_slice"], "left")
+    claim = F.col("_place") + F.coalesce("_before", F.lit(0))
+    return placed.withColumn("_claim", claim).drop("_slice", "_place", "_before")
+
+
 def resolve_destinations(
     planned: DataFrame,
     taken: DataFrame | None = None,
     order_cols=("archive", "entry_ix"),
     hot_rows: int | None = None,
-    last_number: int = LAST_NUMBER,
+    last_number: int | None = None,
 ) -> DataFrame:
     """Give every file a free name at its ``location``: adds ``destination`` and ``error``.
 
     Files are served in ``order_cols`` order. A name that is free is taken as it
-    is, else the smallest free ``stem_N.ext`` up to 10,000; beyond that the file
-    gets an error. ``taken`` holds the ``destination`` paths already on disk.
+    is, else the smallest free ``stem_N.ext``. ``last_number`` bounds N; files
+    beyond it get an error. Without it every file gets a name. ``taken`` holds
+    the ``destination`` paths already on disk.
 
     Three cases, cheapest first: nobody else wants the name; several files want
-    it but no numbered name is in the way (the number is then the rank, a
-    built-in window); numbered names already exist beside it (served in order,
-    one family of names per task). A name holds at most 10,001 files, so only
-    that many rows per name are ranked in one place, however many want it.
+    it but no numbered name is in the way (the number is then the rank); numbered
+    names already exist beside it (served in order, family by family).
     """
     order_cols = list(order_cols)
     # Never NULL, so that joins on them need no not-null filters.
@@ -150,30 +183,17 @@ def resolve_destinations(
         F.col("_family").isNotNull()
     )
 
-    # Serve at most as many files per name as there are names to give. A name
-    # wanted more often is cut in two steps: first inside slices of its rows,
-    # as many as keep a slice and the survivors of all slices equally small.
-    most = last_number + 1
-    slices = F.ceil(F.sqrt(F.col("_want") / most)).cast("bigint")
-    in_slice = Window.partitionBy("_folder", "_name", "_slice").orderBy(*order_cols)
-    by_name = Window.partitionBy("_folder", "_name").orderBy(*order_cols)
-    served = (
-        rivals.select(
-            "_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols,
-            F.pmod(F.xxhash64(*order_cols), slices).alias("_slice"),
-        )
-        .withColumn("_place", F.row_number().over(in_slice))
-        .filter(F.col("_place") <= most)
-        .withColumn("_claim", F.row_number().over(by_name))
-        .filter(F.col("_claim") <= most)
-        .drop("_slice", "_place")
+    served = _ranked(
+        rivals.select("_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols), order_cols
     )
+    if last_number is not None:
+        served = served.filter(F.col("_claim") <= last_number + 1)
     # An unmixed family is the name itself.
     number = F.col("_claim") - 1 + F.col("_on_disk").cast("int")
     ranked = served.filter(~F.col("_mixed")).select(
         *order_cols,
         F.when(number == 0, F.concat("_folder", F.lit("/"), "_family"))
-        .when(number <= last_number, _numbered("_folder", "_stem", "_suffix", number))
+        .when(F.lit(True) if last_number is None else number <= last_number, _numbered("_folder", "_stem", "_suffix", number))
         .alias("_given"),
     )
     in_family = ["_folder", "_family", "_name", "_stem", "_suffix", "_on_disk"]
@@ -181,24 +201,26 @@ def resolve_destinations(
         *in_family,
         # No file of the plan, hence no place in its order; typed, so that ids keep their type.
         *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in order_cols],
-        F.lit(None).cast("int").alias("_claim"),
+        F.lit(None).cast("bigint").alias("_claim"),
     )
     claims = served.filter("_mixed").select(*in_family, *order_cols, "_claim")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*order_cols).schema)
     simulated = (
         claims.unionByName(occupied)
-        .groupBy("_folder", "_family")
-        .applyInPandas(_serve_family(order_cols, last_number), f"{schema}, _given string")
+        .repartition("_folder", "_family")
+        .sortWithinPartitions("_folder", "_family", F.col("_claim").isNotNull(), *order_cols)
+        .mapInPandas(_serve_families(order_cols, last_number), f"{schema}, _given string")
     )
     given = ranked.unionByName(simulated).withColumn("_served", F.lit(True))
-
-    # Files past the last number were not served at all; only names wanted that often have any.
-    crowded = facts.filter(F.col("_want") > last_number + 1).select(
-        "_folder", "_name", "_want", F.lit(True).alias("_crowded")
-    )
     placed = rows.join(given, order_cols, "left")
-    placed = attach(placed, crowded, ["_name", "_folder"], order_cols, "_want", hot_rows)
-    free = F.col("_served").isNull() & F.col("_crowded").isNull()
+    free = F.col("_served").isNull()
+    if last_number is not None:
+        # Files past the last number were not served at all; only names wanted that often have any.
+        crowded = facts.filter(F.col("_want") > last_number + 1).select(
+            "_folder", "_name", "_want", F.lit(True).alias("_crowded")
+        )
+        placed = attach(placed, crowded, ["_name", "_folder"], order_cols, "_want", hot_rows)
+        free = free & F.col("_crowded").isNull()
     return placed.select(
         *planned.columns,
         F.when(free, F.col("location")).otherwise(F.col("_given")).alias("destination"),
@@ -212,8 +234,13 @@ def write_library(
     read_content: Callable[[DataFrame], DataFrame] | None = None,
     order_cols=("archive", "entry_ix"),
     partitions: int | None = None,
+    run_id: str | None = None,
 ) -> DataFrame:
-    """Write planned files with their content, partitioned by year and month.
+    """Add planned files with their content to a library, partitioned by run, year and month.
+
+    Every call writes a run of its own below ``path`` and touches nothing that
+    is there; a folder that holds anything but runs is refused. Each file's
+    SHA-256 is kept beside it, so later runs know it without reading content.
 
     The plan (metadata only) is range-partitioned by month and archive first;
     content is then read in the task that writes it, so bytes are never
@@ -224,6 +251,8 @@ def write_library(
     with ``error`` set and no content.
     """
     spark = planned.sparkSession
+    require_library(spark, path)
+    run = f"{path.rstrip('/')}/run_id={run_id or uuid.uuid4().hex}"
     month = F.coalesce(F.date_format("file_date", "yyyy"), F.lit("Unknown"))
     dated = planned.withColumn("year", month).withColumn(
         "month", F.coalesce(F.date_format("file_date", "MM"), F.lit("00"))
@@ -234,11 +263,32 @@ def write_library(
     laid = dated.repartitionByRange(parts, *ranges)
     filled = read_content(laid) if read_content is not None else laid
     error = F.coalesce(F.col("error"), F.when(F.col("content").isNull(), F.lit("unreadable member")))
-    outcome = filled.withColumn("error", error).withColumn(
-        "content", F.when(F.col("error").isNull(), F.col("content"))
+    content = F.when(F.col("error").isNull(), F.col("content"))
+    outcome = (
+        filled.withColumn("error", error)
+        .withColumn("content", content)
+        .withColumn("sha256", F.sha2("content", 256))
     )
-    outcome.write.mode("overwrite").partitionBy("year", "month").parquet(path)
-    return write_summary(spark.read.schema(outcome.schema).parquet(path), order_cols)
+    outcome.write.mode("errorifexists").partitionBy("year", "month").parquet(run)
+    return write_summary(spark.read.schema(outcome.schema).parquet(run), order_cols)
+
+
+def require_library(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a library; raises if it holds anything else."""
+    names = [n for n in names_in(spark, path) if n != "_SUCCESS"]
+    foreign = [n for n in names if not n.startswith("run_id=")]
+    if foreign:
+        raise ValueError(f"{path} is not a library: it holds {foreign[0]!r}")
+    return bool(names)
+
+
+def library_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a written library: destination, file_size, sha256, run_id. Content is not read."""
+    schema = "destination STRING, file_size BIGINT, sha256 STRING, error STRING, run_id STRING"
+    if not require_library(spark, path):
+        return spark.createDataFrame([], schema).drop("error")
+    written = spark.read.schema(schema).parquet(path)
+    return read_library(written).select("destination", "file_size", "sha256", F.col("run_id").cast("string"))
 
 
 def read_library(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import file_type, human_size
+from ..storage import settle
 from .skew import attach
 
 
@@ -31,15 +32,15 @@ def skip_existing(
     wanted = ~F.col("is_duplicate") & F.col("proposed_location").isNotNull()
     sizes = existing.select("file_size").distinct().withColumn("_size_known", F.lit(True))
     planned = catalog.filter(wanted)
-    sized = attach(planned, sizes, ["file_size"], order_cols, None, hot_rows)
+    sized = settle(attach(planned, sizes, ["file_size"], order_cols, None, hot_rows), "sized")
     keys = (
         existing.select("file_size", F.col("content_key").alias("library_key"))
         .distinct()
         .withColumn("_found", F.lit(True))
     )
-    probed = add_key(sized.filter(F.col("_size_known").isNotNull()).drop("_size_known")).withColumn(
-        "library_key", F.coalesce("library_key", F.lit(""))
-    )
+    # Written once: the keys cost a read of the content, and the look-up reads them twice.
+    hashed = add_key(sized.filter(F.col("_size_known").isNotNull()).drop("_size_known"))
+    probed = settle(hashed.withColumn("library_key", F.coalesce("library_key", F.lit(""))), "probed")
     checked = attach(probed, keys, ["library_key", "file_size"], order_cols, None, hot_rows).select(
         *columns, F.col("_found").isNotNull().alias("already_present")
     )

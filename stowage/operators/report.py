@@ -260,6 +260,7 @@ def report_rows(deduped: DataFrame) -> DataFrame:
     return deduped.select(
         file_name("archive").alias("archive_name"),
         "archive",
+        "entry_ix",
         "file_path",
         file_name("file_path").alias("name"),
         short_hash("content_key").alias("short_key"),
@@ -301,16 +302,39 @@ def browse(
     ascending: bool = False,
     page: int = 0,
     page_size: int = 100,
-    tie: tuple[str, ...] = ("archive", "file_path"),
+    tie: tuple[str, ...] = ("archive", "entry_ix"),
+    after: dict | None = None,
 ) -> DataFrame:
-    """One page of the file table after filtering and sorting."""
+    """One page of the file table after filtering and sorting.
+
+    ``tie`` makes the order total. ``after`` holds the sort and tie values of
+    the last row of the page before, and ``page`` then counts from there: any
+    depth costs a filter and a top-k, where a page number alone has to rank all
+    rows before it.
+    """
     if page_size not in PAGE_SIZES:
         raise ValueError(f"page size must be one of {PAGE_SIZES}")
     found = browse_filter(rows, search, file_type, status)
     key = F.asc_nulls_first(sort) if ascending else F.desc_nulls_last(sort)
+    if after is not None:
+        found = found.filter(_behind(found, sort, ascending, tie, after))
     return found.orderBy(key, *tie).offset(page * page_size).limit(page_size)
 
 
+def _behind(rows: DataFrame, sort: str, ascending: bool, tie: tuple[str, ...], after: dict) -> Column:
+    """Rows that come after the given one; nulls sort first when ascending, else last."""
+    last = F.lit(after[sort]).cast(rows.schema[sort].dataType)
+    beyond = F.lit(False)
+    for column in reversed(tie):
+        value = F.lit(after[column]).cast(rows.schema[column].dataType)
+        beyond = (F.col(column) > value) | ((F.col(column) == value) & beyond)
+    if ascending:
+        later = (F.col(sort) > last) if after[sort] is not None else F.col(sort).isNotNull()
+    else:
+        later = (F.col(sort) < last) | F.col(sort).isNull() if after[sort] is not None else F.lit(False)
+    return F.coalesce(later, F.lit(False)) | (F.col(sort).eqNullSafe(last) & beyond)
+
+
 def browse_filter(rows: DataFrame, search: str = "", file_type: str = "", status: str = "") -> DataFrame:
     """Rows whose name contains ``search`` and whose type and status are as asked."""
     if status not in ("", "unique", "duplicate"):

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import content_key, metadata_key, propose_location, reroot
+from ..functions import content_key, crc_key, metadata_key, partial_key, propose_location, reroot
+from ..functions.keys import PARTIAL_HEX
 from ..operators import compare as cmp
 from ..operators.dates import cache_rows, resolve_dates
 from ..operators.exports import EXPORT_PREFIX, dated_exports, exports_by_date, latest_export
-from ..operators.library import extraction_metrics, resolve_destinations, write_library
+from ..operators.library import (
+    extraction_metrics,
+    library_rows,
+    read_library,
+    require_library,
+    resolve_destinations,
+    write_library,
+)
 from ..operators.planning import (
     archive_plan,
     deletable_archives,
@@ -34,7 +42,8 @@ from .analyze import analyze as analyze_entries
 
 
 def _now() -> str:
-    return datetime.now().isoformat(timespec="microseconds")
+    # UTC, as file times are.
+    return datetime.now(UTC).replace(tzinfo=None).isoformat(timespec="microseconds")
 
 
 def _catalog(
@@ -63,20 +72,32 @@ def analyze(
     return {"catalog": catalog, **build_report(catalog)}
 
 
-def library_index(spark: SparkSession, output_dir: str, state: CatalogState | None = None) -> DataFrame:
-    """Keyed files of the output directory, reusing cached keys where files are unchanged."""
+def _strategy_of() -> Column:
+    """The strategy a content key was made with, by the length of its fingerprint."""
+    length = F.length(F.substring_index("content_key", "_", -1))
+    return F.when(length == 64, "full").when(length == PARTIAL_HEX, "size_partial").otherwise("size_crc")
+
+
+def library_index(
+    spark: SparkSession, output_dir: str, state: CatalogState | None = None, strategy: str = "full"
+) -> DataFrame:
+    """Keyed files of the output directory, reusing cached keys of the same strategy where files are unchanged."""
+    # Before the listing starts, so that a change made meanwhile is newer than the scan.
+    started = _now()
     listing = settle(list_directory(spark, output_dir), "listing")
     if state is None:
-        return hash_files(listing)
-    cache = state.hashes.read()
+        return hash_files(listing, strategy)
+    cached = state.hashes.read()
+    cache = cached.filter(_strategy_of() == strategy)
     roots = listing.select("root").distinct()
     # One row per directory scanned, hence one row here.
-    fresh = fresh_directories(listing, state.scans.read()).filter("is_fresh").limit(1).count() > 0
-    if fresh:
+    fresh = not fresh_directories(listing, state.scans.read()).filter("is_fresh").isEmpty()
+    others = cached.join(roots, "root", "left_anti")
+    whole = cached.join(roots, "root", "left_semi").filter(_strategy_of() != strategy).isEmpty()
+    if fresh and whole:
         return cache.join(roots, "root", "left_semi").select(*listing.columns, "content_key")
-    files = settle(refresh_hashes(listing, cache, hash_files), "library")
-    created = F.lit(_now()).cast("timestamp_ntz")
-    others = cache.join(roots, "root", "left_anti")
+    files = settle(refresh_hashes(listing, cache, lambda df: hash_files(df, strategy)), "library")
+    created = F.lit(started).cast("timestamp_ntz")
     state.hashes.replace(others.unionByName(files.drop("reused").withColumn("created_at", created)))
     state.scans.upsert(
         files.groupBy("root").agg(created.alias("last_scanned"), F.count("*").alias("file_count"))
@@ -91,20 +112,27 @@ def extract(
     library_path: str | None = None,
     exif_tags: DataFrame | None = None,
     state: CatalogState | None = None,
+    strategy: str = "full",
 ) -> dict[str, DataFrame]:
     """Plan an extraction, and write it when ``library_path`` is given (else a dry run).
 
-    ``output_dir`` is the existing directory to compare with; its files also
-    occupy their names.
+    ``output_dir`` is the existing directory to compare with; what earlier runs
+    wrote to ``library_path`` counts as there too. Files of both occupy their
+    names. Only members whose size occurs there are read, and by default the
+    whole content decides; ``size_crc`` (stored checksums, no archive is read)
+    and ``size_partial`` (three samples) are for those who accept that files
+    which differ elsewhere count as present.
     """
     catalog = _catalog(spark, input_dir, exif_tags, state)
-    library = settle(library_index(spark, output_dir, state), "library")
-    plan = settle(
-        skip_existing(
-            catalog, keys_by_size(library), lambda df: read_entry_keys(df, "size_partial", "library_key")
-        ),
-        "plan",
-    )
+    library = settle(library_index(spark, output_dir, state, strategy), "library")
+    existing, taken = _existing(spark, library, output_dir, library_path, strategy)
+
+    def add_key(df: DataFrame) -> DataFrame:
+        if strategy == "size_crc":
+            return df.withColumn("library_key", metadata_key())
+        return read_entry_keys(df, strategy, "library_key")
+
+    plan = settle(skip_existing(catalog, existing, add_key), "plan")
     per_archive = archive_plan(plan)
     sizes = list_archives(spark, input_dir).select("archive", "archive_bytes")
     deletable = deletable_archives(per_archive, sizes)
@@ -120,9 +148,6 @@ def extract(
         "extract_by_year": extract_by_year(plan),
     }
     if library_path:
-        taken = library.select(
-            F.concat(F.lit(output_dir.rstrip("/") + "/"), "file_path").alias("destination")
-        )
         located = plan.filter("to_extract").withColumn("location", reroot("proposed_location", output_dir))
         placed = settle(resolve_destinations(located, taken), "placed")
         summary = write_library(placed, library_path, lambda df: read_entry_content(df, keep_layout=True))
@@ -131,6 +156,25 @@ def extract(
     return tables
 
 
+def _existing(
+    spark: SparkSession, library: DataFrame, output_dir: str, library_path: str | None, strategy: str
+) -> tuple[DataFrame, DataFrame]:
+    """(file_size, content_key) and destinations of the directory and of the written library."""
+    keys = keys_by_size(library)
+    taken = library.select(F.concat(F.lit(output_dir.rstrip("/") + "/"), "file_path").alias("destination"))
+    if library_path:
+        rows = library_rows(spark, library_path)
+        if strategy == "full":
+            key = F.concat(F.col("file_size").cast("string"), F.lit("_"), "sha256")
+            keys = keys.unionByName(rows.select("file_size", key.alias("content_key")))
+        elif require_library(spark, library_path):
+            made = crc_key() if strategy == "size_crc" else partial_key()
+            content = spark.read.schema("file_size BIGINT, content BINARY, error STRING").parquet(library_path)
+            keys = keys.unionByName(read_library(content).select("file_size", made.alias("content_key")))
+        taken = taken.unionByName(rows.select("destination"))
+    return keys.distinct(), taken.distinct()
+
+
 def reconcile(
     spark: SparkSession, entries: DataFrame, output_keys: DataFrame, archives: DataFrame,
     manifest_strategy: str, output_strategy: str,
@@ -184,7 +228,10 @@ def import_new(
     located = dated.withColumn("proposed_location", propose_location("file_path", "file_date")).withColumn(
         "location", reroot("proposed_location", output_dir)
     )
-    placed = settle(resolve_destinations(located.filter(F.col("location").isNotNull()), taken), "placed")
+    wanted = located.filter(F.col("location").isNotNull())
+    there = library_rows(spark, library_path).select("destination")
+    occupied = there if taken is None else taken.select("destination").unionByName(there)
+    placed = settle(resolve_destinations(wanted, occupied), "placed")
     return write_library(placed, library_path, lambda df: read_entry_content(df, keep_layout=True))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 from typing import Any
@@ -14,12 +17,18 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.keys import check_strategy
 from ..schemas import ENTRIES
+from ..session import ship
 from .content import open_fs, stream_key
 from .directories import TASKS_PER_CORE, list_directory
 
 MEMBERS_PER_CHUNK = 512
 BATCH_BYTES = 32 << 20
 ROWS_PER_BATCH = 10_000
+# What a damaged, encrypted or unknown archive raises. Anything else (memory, network) fails the task, which is tried again.
+BROKEN = (
+    zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, NotImplementedError,
+    RuntimeError, ValueError, LookupError, FileNotFoundError, PermissionError,
+)
 
 
 def list_archives(spark: SparkSession, root: str) -> DataFrame:
@@ -54,7 +63,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) == ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
-            except Exception as e:
+            except BROKEN as e:
                 lost = dict.fromkeys(names) | {"archive": archive, "archive_mtime": mtime, "error": str(e) or repr(e)}
                 rows.append(tuple(lost[n] for n in names))
             if rows:
@@ -67,6 +76,7 @@ def scan_archives(archives: DataFrame, partitions: int | None = None) -> DataFra
 
     Each archive is opened once, in one task; only its central directory is read.
     """
+    ship(archives.sparkSession)
     parts = partitions or TASKS_PER_CORE * archives.sparkSession.sparkContext.defaultParallelism
     spread = archives.select("archive", "archive_mtime").repartition(parts, "archive")
     return spread.mapInPandas(_scan, StructType([*ENTRIES.fields, StructField("error", StringType())]))
@@ -110,11 +120,11 @@ def _per_member(read: Callable[[zipfile.ZipFile, zipfile.ZipInfo], Any], column:
                             raw = stack.enter_context(system.open_input_file(path))
                             opened = stack.enter_context(zipfile.ZipFile(raw))
                             members = opened.infolist()
-                        except Exception:
+                        except BROKEN:
                             opened = None
                     try:
                         value = read(opened, members[position]) if opened else None
-                    except Exception:
+                    except BROKEN:
                         value = None
                     values.append(value)
                     held += len(value) if value is not None else 0
@@ -134,6 +144,7 @@ def read_entry_content(
 
     ``keep_layout`` reads in the partitioning the rows already have.
     """
+    ship(wanted.sparkSession)
     rows = wanted if keep_layout else _spread(wanted, partitions)
     schema = rows.withColumn("content", F.lit(None).cast("binary")).schema
     return rows.mapInPandas(_per_member(lambda z, m: z.read(m), "content"), schema)
@@ -147,6 +158,7 @@ def read_entry_keys(
     Bytes never become column values, so members of any size are fine.
     """
     check_strategy(strategy)
+    ship(wanted.sparkSession)
 
     def key_of(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> str:
         with archive.open(member) as stream:

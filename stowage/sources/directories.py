@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.keys import check_strategy
+from ..session import ship
 from .content import open_fs, stream_key
 
 LISTING = "root STRING, file_path STRING, file_size BIGINT, mtime TIMESTAMP_NTZ"
@@ -80,36 +81,52 @@ class FileTreeSource(DataSource):
 
 def list_directory(spark: SparkSession, root: str, min_folders: int = MIN_FOLDERS) -> DataFrame:
     """One row per file below ``root``: root, relative path, size, time. Reads no content."""
+    ship(spark)
     spark.dataSource.register(FileTreeSource)
     return spark.read.format(SOURCE_NAME).option("minFolders", min_folders).load(root)
 
 
 def hash_files(files: DataFrame, strategy: str = "size_partial", partitions: int | None = None) -> DataFrame:
-    """Add ``content_key`` to listed files; files that cannot be read drop out.
+    """Add ``content_key`` to listed files; see :func:`hash_or_error` for those that cannot be read."""
+    hashed = hash_or_error(files, strategy, partitions)
+    return hashed.filter(F.col("content_key").isNotNull()).drop("error")
+
+
+def unreadable_files(hashed: DataFrame) -> DataFrame:
+    """The files of :func:`hash_or_error` that could not be read, and why."""
+    return hashed.filter(F.col("content_key").isNull()).select("root", "file_path", "error")
+
+
+def hash_or_error(files: DataFrame, strategy: str = "size_partial", partitions: int | None = None) -> DataFrame:
+    """Add ``content_key`` to listed files, and ``error`` where a file cannot be read.
 
     Only the files given are opened: filter the listing first. Work is spread
     by path over an explicit number of tasks, since the listing itself is tiny.
     """
     check_strategy(strategy)
-    columns = [c for c in files.columns if c != "content_key"]
+    ship(files.sparkSession)
+    columns = [c for c in files.columns if c not in ("content_key", "error")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = []
+            keys, errors = [], []
             for root, path, size in zip(pdf["root"], pdf["file_path"], pdf["file_size"], strict=True):
                 try:
                     system, base = open_fs(root)
                     with system.open_input_file(f"{base.rstrip('/')}/{path}") as stream:
                         keys.append(stream_key(stream, size, strategy))
-                except OSError:
+                        errors.append(None)
+                except OSError as e:
                     keys.append(None)
-            yield pdf.assign(content_key=keys)
+                    errors.append(str(e) or repr(e))
+            yield pdf.assign(content_key=keys, error=errors)
 
     parts = partitions or TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
     rows = files.select(*columns)
-    out = rows.withColumn("content_key", F.lit(None).cast("string")).schema
+    none = F.lit(None).cast("string")
+    out = rows.withColumns({"content_key": none, "error": none}).schema
     spread = rows.repartition(parts, "root", "file_path")
-    return spread.mapInPandas(run, out).filter(F.col("content_key").isNotNull())
+    return spread.mapInPandas(run, out)
 
 
 def scan_directory(spark: SparkSession, root: str, strategy: str = "size_partial") -> DataFrame:

@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet table; spread it when it has fewer splits than the cluster has cores.
-
-    A table of many splits is returned as it is, without a shuffle. One small
-    file would otherwise keep every map-side stage on a single core.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Read a Parquet table; Spark plans its splits (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +12,22 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    A folder of our own is chosen only where the session names none, which
-    is the case in local tests.
+    Where the session names none, a folder below the warehouse is used, which
+    every executor reaches as well; never a temporary folder of one machine.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not named:
-        named = tempfile.mkdtemp(prefix="stowage-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._stowage_scratch = [*getattr(context, "_stowage_scratch", []), path]
+    return path
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
@@ -39,3 +41,23 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    inner = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return inner.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), inner
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly in a folder; empty if there is no such folder."""
+    system, inner = _hadoop_path(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(inner)] if system.exists(inner) else []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application; tables that read them are void afterwards."""
+    context = spark.sparkContext
+    for path in getattr(context, "_stowage_scratch", []):
+        system, inner = _hadoop_path(spark, path)
+        system.delete(inner, True)
+    context._stowage_scratch = []

@@ -402,7 +402,7 @@ SELECT archive, file_path, {name_of('file_path')} AS name, {type_of('file_path')
 FROM (SELECT * FROM li ORDER BY file_size DESC, {LINE_ORDER} LIMIT 20)
 """)
 cte("rep", "cat", f"""
-SELECT archive AS archive_name, archive, file_path, {name_of('file_path')} AS name, left(content_key, 12) || '...' AS short_key,
+SELECT archive AS archive_name, archive, entry_ix, file_path, {name_of('file_path')} AS name, left(content_key, 12) || '...' AS short_key,
        content_key, is_duplicate, CASE WHEN is_duplicate THEN original_archive || ':' || original_path ELSE '' END AS duplicate_of,
        file_date, CAST(year(file_date) AS INTEGER) AS year, strftime(archive_mtime, '%Y-%m-%d') AS download_date,
        proposed_location, {type_of('file_path')} AS file_type, file_size, {size_text_of('file_size', REPORT_UNITS)} AS size_text
@@ -417,7 +417,11 @@ FROM stats ORDER BY download_date DESC, archive LIMIT 10
 PAGE = "lower(name) LIKE '%doc%' AND file_type = 'image' AND NOT is_duplicate"
 oracle("browse_page", "rep", f"""
 SELECT archive, file_path, file_size, size_text, file_date FROM rep WHERE {PAGE}
-ORDER BY file_size DESC, archive, file_path LIMIT 100
+ORDER BY file_size DESC, archive, entry_ix LIMIT 100
+""")
+for after in ("browse_page_two", "browse_after"):
+    oracle(after, "rep", """
+SELECT archive, entry_ix, file_path, file_size FROM rep ORDER BY file_size DESC, archive, entry_ix LIMIT 100 OFFSET 200
 """)
 oracle("browse_count", "rep", f"""
 SELECT count(*) AS files, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages FROM rep WHERE {PAGE}

@@ -417,6 +417,22 @@ def browse_page(spark, sf):
     return page.select("archive", "file_path", "file_size", "size_text", "file_date")
 
 
+@query
+def browse_page_two(spark, sf):
+    rows = rp.report_rows(_catalog(spark, sf))
+    page = rp.browse(rows, sort="file_size", page=2, page_size=100)
+    return page.select("archive", "entry_ix", "file_path", "file_size")
+
+
+@query
+def browse_after(spark, sf):
+    # The same page, found from the last row of the one before it.
+    rows = settle(rp.report_rows(_catalog(spark, sf)).select("archive", "entry_ix", "file_path", "file_size"), "rows")
+    last = rp.browse(rows, sort="file_size", page=1, page_size=100).tail(1)
+    page = rp.browse(rows, sort="file_size", page_size=100, after=last[0].asDict() if last else None)
+    return page if last else page.limit(0)
+
+
 @query
 def browse_count(spark, sf):
     return rp.browse_count(rp.report_rows(_catalog(spark, sf)), page_size=100, **BROWSE)

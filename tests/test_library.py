@@ -18,10 +18,10 @@ def in_turn(planned, taken, last):
         dot = name.rfind(".")
         stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
         choice, k = location, 0
-        while choice in used and k <= last:
+        while choice in used and (last is None or k <= last):
             k += 1
             choice = f"{folder}/{stem}_{k}{suffix}"
-        if k > last:
+        if last is not None and k > last:
             choice = None
         else:
             used.add(choice)
@@ -29,7 +29,7 @@ def in_turn(planned, taken, last):
     return out
 
 
-def resolve(rows, planned, taken=(), last=lib.LAST_NUMBER, hot_rows=None):
+def resolve(rows, planned, taken=(), last=None, hot_rows=None):
     disk = rows([(t,) for t in taken], "destination string") if taken else None
     df = lib.resolve_destinations(rows(planned, PLANNED), disk, hot_rows=hot_rows, last_number=last)
     got = df.collect()
@@ -60,7 +60,7 @@ def test_equals_serving_in_turn(rows, seed):
         (f"z{rng.randrange(3)}", i, f"o/{rng.randrange(2)}/{rng.choice(stems)}{rng.choice(suffixes)}") for i in range(120)
     ]
     taken = sorted({f"o/{rng.randrange(2)}/{rng.choice(stems)}{rng.choice(suffixes)}" for _ in range(8)})
-    last = rng.choice([2, 3, lib.LAST_NUMBER])
+    last = rng.choice([2, 3, None, None])
     for hot_rows in (None, 2):
         want = in_turn(planned, taken, last)
         assert resolve(rows, planned, taken, last, hot_rows) == want

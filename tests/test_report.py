@@ -102,6 +102,12 @@ def test_rows_and_browsing(catalog):
     assert rp.browse(rows, file_type="video", status="unique").count() == 1
     assert tuple(rp.browse_count(rows, status="duplicate").first()) == (5, 1)
     assert rp.browse(rows, page=1).count() == 0
+    for sort in ("file_size", "proposed_location"):
+        for ascending in (True, False):
+            order = rp.browse(rows, sort=sort, ascending=ascending).collect()
+            for k, last in enumerate(order):
+                rest = rp.browse(rows, sort=sort, ascending=ascending, after=last.asDict()).collect()
+                assert rest == order[k + 1 :]
     with pytest.raises(ValueError):
         rp.browse(rows, page_size=7)
     with pytest.raises(ValueError):
