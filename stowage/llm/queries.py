@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import bpe, decontaminate, langid, phrases, quality, rules, secrets, setsketch, suffixes, warc
 from stowage.llm.common import read
+from stowage.llm.oracles import ORACLES
 from stowage.storage import scratch_path
 
 
@@ -19,6 +20,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+__all__ = ["ORACLES", "REGISTRY"]
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
@@ -93,6 +97,3 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array": op10_suffix_array,
 }
-
-#: DuckDB statements for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
