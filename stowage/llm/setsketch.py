@@ -7,9 +7,12 @@ collapse into one class first. Bands of registers propose pairs of classes; the
 joint likelihood of all registers drops pairs far from the threshold; the others
 are confirmed on their full shingle sets. Confirmed links give components.
 
-Groups never turn into all their pairs. In each round a bucket links its members
-to two leaders only, components merge, and buckets within one component are
-finished. Only what several rounds leave apart is paired across components.
+Groups never turn into all their pairs. Shingles that no other candidate has
+bound how much a document can share with any other: documents with too many of
+them leave, and pairs that cannot reach the threshold are never made. In each
+round a bucket links its members to two leaders only, one of them its least
+singular member; components merge, and buckets within one component are
+finished. Only what the rounds leave apart is paired across components.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import WordHashes, batches, mix, ngram_hashes, odd_numbers, settle, texts
@@ -34,7 +37,7 @@ BASE, RATE = 1.001, 20.0
 #: Pairs are dropped if their likeliest similarity is below this, 7 deviations under the threshold.
 DOUBT = 0.6
 #: Rounds of linking to leaders before the rest is paired across components.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 _CHUNK = 2048
 
 
@@ -144,22 +147,45 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
-def _star(members: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs: every member of a bucket with two leaders of it."""
+def _possible(a: str, b: str, shared: int) -> Column:
+    """Whether two sets can reach the threshold, by what each has that no other candidate has.
+
+    At most ``m`` shingles are common, the smaller of what the two have in
+    common with anyone; with fewer the union is larger.
+    """
+    m = F.least(F.col(f"n_{a}") - F.col(f"own_{a}"), F.col(f"n_{b}") - F.col(f"own_{b}"))
+    return 100 * m >= shared * (F.col(f"n_{a}") + F.col(f"n_{b}") - m)
+
+
+def _star(members: DataFrame, turn: int, shared: int) -> DataFrame:
+    """Candidate pairs: every member of a bucket with two leaders of it, one of them the least singular."""
+    me = F.struct("rep", "n_x", "own_x", "comp")
     leaders = members.groupBy("h").agg(
-        F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("l1"), F.min_by("rep", F.xxhash64("rep", F.lit(-1 - turn))).alias("l2")
+        F.min_by(me, F.struct(F.col("own_x") / F.col("n_x"), F.xxhash64("rep", F.lit(turn)))).alias("l1"),
+        F.min_by(me, F.xxhash64("rep", F.lit(-1 - turn))).alias("l2"),
+    )
+    met = members.join(leaders, "h").select("rep", "n_x", "own_x", "comp", F.explode(F.array("l1", "l2")).alias("l"))
+    met = met.filter("comp <> l.comp").select(
+        F.col("rep").alias("x"), "n_x", "own_x", F.col("l.rep").alias("y"), F.col("l.n_x").alias("n_y"), F.col("l.own_x").alias("own_y")
     )
-    met = members.join(leaders, "h").select("rep", "comp", F.explode(F.array("l1", "l2")).alias("leader"))
-    return _ordered(met.filter("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")))
+    return _ordered(met.filter(_possible("x", "y", shared)))
 
 
-def _cross(members: DataFrame) -> DataFrame:
+def _cross(members: DataFrame, shared: int) -> DataFrame:
     """Candidate pairs: members of a bucket that lie in different components."""
-    other = members.select("h", F.col("rep").alias("y"), F.col("comp").alias("comp_y"))
-    met = members.join(other, "h").filter("comp < comp_y")
+    other = members.select(
+        "h", F.col("rep").alias("y"), F.col("n_x").alias("n_y"), F.col("own_x").alias("own_y"), F.col("comp").alias("comp_y")
+    )
+    met = members.join(other, (members["h"] == other["h"]) & (F.col("comp") < F.col("comp_y")) & _possible("x", "y", shared))
     return _ordered(met.select(F.col("rep").alias("x"), "y"))
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    split = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    return settle(members.join(split, "h", "left_semi"), "buckets")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -183,37 +209,39 @@ def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(BANDS)])
     banded = reps.select("rep", F.explode(bands).alias("h"))
     crowded = banded.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    members = settle(banded.join(crowded, "h").select("h", "rep", F.col("rep").alias("comp")), "buckets")
-    near = members.select("rep").distinct()
+    crowd = settle(banded.join(crowded, "h").select("h", "rep"), "buckets")
+    near = crowd.select("rep").distinct()
     sets = settle(
         base.join(near, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep long, hashes array<bigint>")
         .dropDuplicates(["rep"]),
         "shingle-sets",
     )
-    near_reps = settle(reps.join(near, "rep", "left_semi").select("rep", "n", "regs"), "near-classes").dropDuplicates(["rep"])
+    # Shingles that no other candidate has; a set with too many of them links with nothing.
+    own = (
+        sets.select("rep", F.explode("hashes").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+        .filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    )
+    near_reps = settle(
+        reps.join(near, "rep", "left_semi").join(own, "rep", "left")
+        .select("rep", "n", "regs", F.coalesce("own", F.lit(0).cast("bigint")).alias("own"))
+        .filter(100 * (F.col("n") - F.col("own")) >= shared * F.col("n")).dropDuplicates(["rep"]),
+        "near-classes",
+    )
+    known = near_reps.select("rep", F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+    members = _apart(crowd.join(known, "rep").withColumn("comp", F.col("rep")))
     links, comps = None, None
     for turn in range(STAR_ROUNDS + 1):
         if members.isEmpty():
             break
-        pairs = _star(members, turn) if turn < STAR_ROUNDS else _cross(members)
+        pairs = _star(members, turn, shared) if turn < STAR_ROUNDS else _cross(members, shared)
         found = settle(confirmed(pairs, near_reps, sets, shared), "links")
-        fresh = not found.isEmpty()
-        if fresh:
-            links = found if links is None else links.union(found)
-            comps = components(links)
-            named = members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-            members = named.select("h", "rep", F.coalesce("comp", "rep").alias("comp"))
-        if turn == STAR_ROUNDS:
-            break
-        split = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-        members = settle(members.join(split, "h", "left_semi"), "buckets")
-        if not fresh and turn < STAR_ROUNDS - 1 and not members.isEmpty():
-            # Leaders link nothing more: what is left is paired across components at once.
-            last = settle(confirmed(_cross(members), near_reps, sets, shared), "links")
-            if not last.isEmpty():
-                links = last if links is None else links.union(last)
-                comps = components(links)
-            break
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        comps = components(links)
+        named = members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        if turn < STAR_ROUNDS:
+            members = _apart(named.withColumn("comp", F.coalesce("comp", "rep")))
     out = sketched.join(reps.select(F.col("key").alias("_key"), "rep"), F.col("key") == F.col("_key"), "left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
