@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WordHashes, ngram_hashes
+from stowage.llm.common import WordHashes
 from stowage.llm.repeats import ALWAYS, NO_ID, Kind, Runs, Segments, find_repeats
 
 WIDTH, GRAM = 35, 12
@@ -30,7 +30,7 @@ _KNOWN = WordHashes()
 
 def words_kind() -> Kind:
     return Kind(
-        WIDTH, GRAM, read=bytes.split, hashes=lambda w: ngram_hashes(_KNOWN.of(w), GRAM),
+        WIDTH, GRAM, read=bytes.split, codes=_KNOWN.of,
         cut=lambda w, a, b: b" ".join(w[a:b]), by_document=False,
     )
 
@@ -120,7 +120,7 @@ def solve(segments: Segments) -> Runs:
             else:
                 out.append([i, 1])
         answer[t] = [(a, n, ALWAYS) for a, n in out]
-    return [answer[t] for t in segments.content]
+    return Runs.of([answer[t] for t in segments.content])
 
 
 _OUT = pa.schema(

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import batches, settle
+from stowage.llm.common import batches, mix, settle
 
 #: Bytes of text in a chunk, and bytes of text per bucket.
 CHUNK, PER_BUCKET, LEAST_BUCKETS = 4 << 20, 6 << 20, 48
@@ -101,31 +101,80 @@ def sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse modulo 2^64, at least ``n`` of each."""
+    if 0 not in _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, 1 << 16)
+        up, down = (
+            np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, f, np.uint64), dtype=np.uint64)])
+            for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))
+        )
+        _POWERS[0] = (up, down)
+    return _POWERS[0]
+
+
+class Hashed:
+    """Prefix polynomial hashes of a sequence, modulo 2^64.
+
+    The prefix sums weigh symbol j by factor^-j, which an odd factor has;
+    multiplying a difference by factor^start makes hashes of equal sequences
+    equal wherever they start.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        up, down = powers(len(codes) + 1)
+        self.up = up[: len(codes) + 1]
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[: len(codes)], dtype=np.uint64, out=self.prefix[1:])
+
+    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of the ``n`` symbols from ``at``."""
+        return mix((self.prefix[at + n] - self.prefix[at]) * self.up[at])
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hashes of all runs of ``k`` symbols."""
+        n = len(self.prefix) - k
+        return mix((self.prefix[k:] - self.prefix[:n]) * self.up[:n])
+
+
 @dataclass
 class Kind:
-    """What the symbols are: ``read`` splits a document, ``hashes`` gives its gram hashes, ``cut`` the text of symbols a to b."""
+    """What the symbols are.
+
+    ``read`` splits a document into symbols, ``codes`` numbers them (64 bits),
+    ``cut`` gives the text of symbols a to b. ``by_document`` says whether
+    segments carry the least id they occur in, or how often they occur.
+    """
 
     width: int
     gram: int
     read: Callable[[bytes], object]
-    hashes: Callable[[object], np.ndarray]
+    codes: Callable[[object], np.ndarray]
     cut: Callable[[object, int, int], bytes]
     by_document: bool
 
-    def anchors(self, symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and place of each anchor, its first window and number of windows."""
+    def anchors(self, symbols, whole: bool) -> list[np.ndarray]:
+        """Hash and place of each anchor, its first window, number of windows, and (if ``whole``) hash of its segment."""
         n = len(symbols) - self.width + 1
         if n <= 0:
-            return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-        g = self.hashes(symbols)
+            return [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64)]
+        text = Hashed(self.codes(symbols))
+        g = text.grams(self.gram)
         low = np.uint64(0xFFFFFFFF)
         at = (sliding_least((g & ~low) | np.arange(len(g), dtype=np.uint64), self.width - self.gram + 1) & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return g[at[first]], at[first], first, np.diff(np.append(first, n))
+        n_windows = np.diff(np.append(first, n))
+        segment = text.of(first, n_windows + self.width - 1) if whole else np.zeros(0, np.uint64)
+        return [g[at[first]], at[first], first, n_windows, segment]
 
 
 def keyed(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bucket in the high and 32 hash bits in the low half."""
+    """Bucket in the high and 32 hash bits in the low half. Anchors are minima, so their hashes are mixed anew first."""
+    hashes = mix(hashes)
     bucket = ((hashes >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24)
     return (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
@@ -140,7 +189,7 @@ def _by_bucket(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _distinct(kind: Kind, blob: bytes, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor keys of a chunk and how often each occurs in it."""
-    found = [kind.anchors(kind.read(data))[0] for _, data in documents(blob)]
+    found = [kind.anchors(kind.read(data), False)[0] for _, data in documents(blob)]
     return np.unique(keyed(np.concatenate(found), n_buckets), return_counts=True)
 
 
@@ -167,52 +216,48 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 class Requests:
-    """The distinct segments of a chunk around anchors that repeat, and where they lie."""
+    """The distinct segments of a chunk around anchors that repeat, by bucket, and where they lie."""
 
     def __init__(self, kind: Kind, blob: bytes, n_buckets: int, answers: dict[int, bytes]):
-        docs = [(i, kind.read(data)) for i, data in documents(blob)]
-        found = [kind.anchors(symbols) for _, symbols in docs]
-        keys = [keyed(f[0], n_buckets) for f in found]
-        every = np.unique(np.concatenate(keys))
+        self.docs = [(i, kind.read(data)) for i, data in documents(blob)]
+        found = [kind.anchors(symbols, True) for _, symbols in self.docs]
+        key, at, first, windows, text = (np.concatenate(x) for x in zip(*found, strict=True))
+        key = keyed(key, n_buckets)
+        doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        every, back = np.unique(key, return_inverse=True)
         often = np.zeros(len(every), bool)
         for bucket, a, b in _by_bucket(every):
             often[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a).astype(bool)
-        every = every[often]
-        self.docs = docs
-        #: Per document: (segment, first window, windows) of each anchor that repeats.
-        self.places: list[list[tuple[int, int, int]]] = []
-        #: Per segment: bucket, offset of the anchor, windows, least id or number of occurrences, text.
-        self.bucket, self.offset, self.windows, self.value, self.content = [], [], [], [], []
-        number: dict[bytes, int] = {}
-        for (i, symbols), (_, at, first, n), key in zip(docs, found, keys, strict=True):
-            places: list[tuple[int, int, int]] = []
-            self.places.append(places)
-            if not len(key) or not len(every):
-                continue
-            hit = np.flatnonzero(every[np.minimum(np.searchsorted(every, key), len(every) - 1)] == key)
-            for p, a, w, k in zip(at[hit].tolist(), first[hit].tolist(), n[hit].tolist(), key[hit].tolist(), strict=True):
-                text = kind.cut(symbols, a, a + w + kind.width - 1)
-                e = number.get(text)
-                if e is None:
-                    e = number[text] = len(self.content)
-                    self.bucket.append(k >> 32)
-                    self.offset.append(p - a)
-                    self.windows.append(w)
-                    self.value.append(i if kind.by_document else 1)
-                    self.content.append(text)
-                elif kind.by_document:
-                    self.value[e] = min(self.value[e], i)
-                else:
-                    self.value[e] += 1
-                places.append((e, a, w))
-
-    def sent(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Buckets and the segments that go there, in order."""
-        bucket = np.array(self.bucket, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
-        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
-            yield int(bucket[order[a]]), order[a:b]
+        hit = np.flatnonzero(often[back])
+        key, text = key[hit], text[hit]
+        #: Per anchor that repeats: its document, first window, and segment.
+        self.doc, self.first = doc[hit], first[hit]
+        order = np.lexsort((text, key))
+        k, t = key[order], text[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]) if len(k) else np.zeros(0, bool)
+        self.segment = np.empty(len(hit), np.int64)
+        self.segment[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        one = order[heads]
+        ids = np.array([i for i, _ in self.docs], np.int64)[self.doc]
+        #: Per segment, ordered by bucket: key, offset of the anchor, windows, least id or number of occurrences, one place.
+        self.key, self.offset, self.windows = key[one], (at - first)[hit][one], windows[hit][one]
+        self.place = one
+        if kind.by_document:
+            self.value = np.minimum.reduceat(ids[order], heads) if len(heads) else np.zeros(0, np.int64)
+        else:
+            self.value = np.diff(np.append(heads, len(order)))
+
+    def parts(self) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of the segments."""
+        return _by_bucket(self.key)
+
+    def contents(self, kind: Kind) -> list[bytes]:
+        ends = self.windows + kind.width - 1 + self.first[self.place]
+        return [
+            kind.cut(self.docs[d][1], a, b)
+            for d, a, b in zip(self.doc[self.place].tolist(), self.first[self.place].tolist(), ends.tolist(), strict=True)
+        ]
 
 
 @dataclass
@@ -225,8 +270,29 @@ class Segments:
     content: list[bytes]
 
 
-#: Per segment, runs of windows: (first, number, bound); a run covers documents of ids above the bound.
-Runs = list[list[tuple[int, int, int]]]
+@dataclass
+class Runs:
+    """Runs of windows of segments: how many each has, then first window, number of windows and bound of all runs.
+
+    A run covers the segment in documents of ids above the bound.
+    """
+
+    n: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    bound: np.ndarray
+
+    @classmethod
+    def of(cls, runs: list[list[tuple[int, int, int]]]) -> Runs:
+        flat = np.array([r for rs in runs for r in rs], np.int64).reshape(-1, 3)
+        return cls(np.array([len(r) for r in runs], np.int64), flat[:, 0], flat[:, 1], flat[:, 2])
+
+    def take(self, rows: np.ndarray) -> Runs:
+        """The runs of the given segments, in that order."""
+        n = self.n[rows]
+        starts = (np.cumsum(self.n) - self.n)[rows]
+        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Runs(n, self.first[at], self.size[at], self.bound[at])
 
 
 def _solved(solve: Callable[[Segments], Runs], table: pa.Table) -> pa.Table:
@@ -244,34 +310,32 @@ def _solved(solve: Callable[[Segments], Runs], table: pa.Table) -> pa.Table:
     runs = solve(Segments(*[np.concatenate(x).astype(np.int64) for x in (offsets, windows, values)], content))
     out, at = [], 0
     for n in counts:
-        own = runs[at : at + n]
-        flat = [r for rs in own for r in rs]
-        a, b, c = zip(*flat, strict=True) if flat else ((), (), ())
-        out.append(pack(np.array([len(r) for r in own], np.uint8), np.array(a, np.uint8), np.array(b, np.uint8), np.array(c, np.int64)))
+        own = runs.take(np.arange(at, at + n))
+        out.append(pack(own.n.astype(np.uint8), own.first.astype(np.uint8), own.size.astype(np.uint8), own.bound))
         at += n
     return pa.table([table.column("bucket"), table.column("chunk"), pa.array(out, pa.binary())], names=_SENT.names)
 
 
 def _covered(kind: Kind, requests: Requests, answers: dict[int, bytes]) -> Iterator[tuple[int, object, list[tuple[int, int]]]]:
-    """Id, symbols and covered symbol spans of each document of a chunk."""
-    runs: list[list[tuple[int, int, int]]] = [[]] * len(requests.content)
-    for bucket, order in requests.sent():
-        n, a, b, c = unpack(answers[bucket], np.uint8, np.uint8, np.uint8, np.int64)
-        at, flat = 0, list(zip(a.tolist(), b.tolist(), c.tolist(), strict=True))
-        for e, k in zip(order.tolist(), n.tolist(), strict=True):
-            runs[e] = flat[at : at + k]
-            at += k
-    for (i, symbols), places in zip(requests.docs, requests.places, strict=True):
-        spans: list[tuple[int, int]] = []
-        for e, first, _ in places:
-            for start, n, bound in runs[e]:
-                if bound < i:
-                    a, b = first + start, first + start + n - 1 + kind.width
-                    if spans and a <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-                    else:
-                        spans.append((a, b))
-        yield i, symbols, spans
+    """Id, symbols and covered symbol spans (maximal) of each document of a chunk."""
+    own = [unpack(answers[bucket], np.uint8, np.uint8, np.uint8, np.int64) for bucket, _, _ in requests.parts()]
+    empty = np.zeros(0, np.int64)
+    every = Runs(*[np.concatenate([empty, *(o[i] for o in own)]).astype(np.int64) for i in range(4)])
+    runs = every.take(requests.segment)
+    doc = np.repeat(requests.doc, runs.n)
+    ids = np.array([i for i, _ in requests.docs], np.int64)
+    covers = runs.bound < ids[doc]
+    start = (np.repeat(requests.first, runs.n) + runs.first)[covers]
+    end, doc = start + runs.size[covers] - 1 + kind.width, doc[covers]
+    # Windows ascend within a document, so a span ends where the next window starts behind all before it.
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])]) if len(doc) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1 if len(heads) else heads
+    spans: list[list[tuple[int, int]]] = [[] for _ in requests.docs]
+    for d, a, b in zip(doc[heads].tolist(), start[heads].tolist(), end[tails].tolist(), strict=True):
+        spans[d].append((a, b))
+    for (i, symbols), found in zip(requests.docs, spans, strict=True):
+        yield i, symbols, found
 
 
 def find_repeats(
@@ -303,13 +367,13 @@ def find_repeats(
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist(), strict=True):
-            r = Requests(kind(), blob, n_buckets, parts(right))
-            for bucket, order in r.sent():
-                own = [r.content[e] for e in order.tolist()]
-                numbers = [np.array(x)[order] for x in (r.offset, r.windows, r.value)]
-                out.append(
-                    (bucket, chunk, pack(numbers[0].astype(np.uint16), numbers[1].astype(np.uint16), numbers[2].astype(np.int64), np.array([len(t) for t in own], np.int64), b"".join(own)))
-                )
+            own = kind()
+            r = Requests(own, blob, n_buckets, parts(right))
+            content = r.contents(own)
+            for bucket, a, b in r.parts():
+                part = content[a:b]
+                numbers = r.offset[a:b].astype(np.uint16), r.windows[a:b].astype(np.uint16), r.value[a:b].astype(np.int64)
+                out.append((bucket, chunk, pack(*numbers, np.array([len(t) for t in part], np.int64), b"".join(part))))
         return pa.Table.from_batches([_send(out)])
 
     stored = chunks.select("chunk", "blob")

@@ -18,54 +18,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import mix
-from stowage.llm.repeats import NO_ID, Kind, Runs, Segments, find_repeats
+from stowage.llm.repeats import NO_ID, Hashed, Kind, Runs, Segments, find_repeats
 
 WIDTH, GRAM = 50, 16
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _gram_hashes(x: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of GRAM (a power of two) bytes, by doubling."""
-    h, n, f = x.astype(np.uint64) + np.uint64(1), 1, int(_FACTOR)
-    while n < GRAM:
-        h, n, f = h[:-n] * np.uint64(f) + h[n:], 2 * n, f * f % (1 << 64)
-    return mix(h)
 
 
 def bytes_kind() -> Kind:
     return Kind(
-        WIDTH, GRAM, read=lambda data: np.frombuffer(data, np.uint8), hashes=_gram_hashes,
+        WIDTH, GRAM, read=lambda data: np.frombuffer(data, np.uint8), codes=lambda x: x,
         cut=lambda x, a, b: x[a:b].tobytes(), by_document=True,
     )
 
 
-class Hashed:
-    """Prefix polynomial hashes of a byte string; wrap-around makes them modulo 2^64."""
+class Suffixes(Hashed):
+    """Suffixes of a byte string, compared by their prefix hashes."""
 
     def __init__(self, data: np.ndarray):
+        super().__init__(data)
         self.data = data
-        # prefix[i] sums data[j] * factor^-j for j < i; an odd factor has an inverse modulo 2^64.
-        inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-        down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, len(data) - 1), inverse, np.uint64), dtype=np.uint64)])[: len(data)]
-        self.prefix = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down, dtype=np.uint64)])
-        self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, len(data)), _FACTOR, np.uint64), dtype=np.uint64)])
-
-    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Hash of the ``n`` bytes from ``at``."""
-        return mix((self.prefix[at + n] - self.prefix[at]) * self.up[at])
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common extension from ``a`` and ``b``, at most ``most``, by binary search."""
         low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        from_a, from_b, up_a, up_b = self.prefix[a], self.prefix[b], self.up[a], self.up[b]
+        for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high + 1) // 2
-            same = self.of(a, mid) == self.of(b, mid)
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
+            same = (self.prefix[a + mid] - from_a) * up_a == (self.prefix[b + mid] - from_b) * up_b
+            low = np.where(same, mid, low)
+            high = np.where(same, high, np.maximum(mid - 1, low))
+        return low
 
     def less(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         """Whether the suffix from ``a`` comes before that from ``b``; a proper prefix comes first."""
@@ -76,11 +57,23 @@ class Hashed:
         return np.where(a_over, ~b_over, ~b_over & byte)
 
 
-def merge_sort(text: Hashed, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of the suffixes text[starts:ends]. All merges of a level run together: each element's rank in the
-    other run is found by binary search, ties keep the left run first."""
+def merge_sort(text: Suffixes, group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order of the suffixes text[starts:ends] within their groups, groups ascending.
+
+    All merges of a level run together: each element's rank in the other run is
+    found by binary search, equal suffixes keep the left run first. Suffixes of
+    different groups compare by group, so hashes are read for the others alone.
+    """
     n = len(starts)
-    order, width = np.arange(n), 1
+    order, width = np.argsort(group, kind="stable"), 1
+
+    def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = group[x] < group[y]
+        same = np.flatnonzero(group[x] == group[y])
+        x, y = x[same], y[same]
+        out[same] = text.less(starts[x], ends[x], starts[y], ends[y])
+        return out
+
     while width < n:
         at = np.arange(n)
         run = at // width
@@ -88,23 +81,22 @@ def merge_sort(text: Hashed, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         other = np.where(left, (run + 1) * width, (run - 1) * width)
         low, high = np.minimum(other, n), np.minimum(other + width, n)
         first = low.copy()
-        s, e = starts[order], ends[order]
+        # Runs that meet in different groups are in order as they stand.
+        border = np.where(left, np.minimum(other, n - 1), run * width)
+        apart = group[order[np.maximum(border - 1, 0)]] != group[order[border]]
+        low, high = np.where(apart, np.where(left, first, high), low), np.where(apart & left, first, high)
         while True:
             todo = np.flatnonzero(low < high)
             if not len(todo):
                 break
             mid = (low[todo] + high[todo]) // 2
-            own_left = left[todo]
-            # Elements of the right run that are less go before a left one; those of the left run that are not greater before a right one.
-            before = np.where(
-                own_left,
-                text.less(s[mid], e[mid], s[todo], e[todo]),
-                ~text.less(s[todo], e[todo], s[mid], e[mid]),
-            )
+            own, mate, first_run = order[todo], order[mid], left[todo]
+            # Less ones of the right run go before a left element, not greater ones of the left run before a right one.
+            x, y = np.where(first_run, mate, own), np.where(first_run, own, mate)
+            before = np.where(first_run, less(x, y), ~less(x, y))
             low[todo] = np.where(before, mid + 1, low[todo])
             high[todo] = np.where(before, high[todo], mid)
-        pair = run // 2 * 2 * width
-        place = pair + (at - run * width) + (low - first)
+        place = run // 2 * 2 * width + (at - run * width) + (low - first)
         nxt = np.empty_like(order)
         nxt[place] = order
         order, width = nxt, 2 * width
@@ -120,45 +112,45 @@ def solve(segments: Segments) -> Runs:
     np.minimum.at(least, own, segments.value)
     offset, windows = np.zeros(n, np.int64), np.zeros(n, np.int64)
     offset[own], windows[own] = segments.offset, segments.windows
-    bounds = _shared(texts, offset, windows, least)
-    answers: list[list[tuple[int, int, int]]] = []
-    for c in range(n):
-        b = bounds.get(c)
-        if b is None:
-            answers.append([(0, int(windows[c]), int(least[c]))])
-            continue
-        cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-        answers.append([(x, y - x, int(b[x])) for x, y in zip(cuts, cuts[1:], strict=False)])
-    return [answers[c] for c in own.tolist()]
-
-
-def _shared(texts: list[bytes], offset: np.ndarray, windows: np.ndarray, least: np.ndarray) -> dict[int, np.ndarray]:
-    """For segments whose anchor other segments have too: per window, the smallest id among equal windows."""
+    bound = np.repeat(least[:, None], WIDTH - GRAM + 1, 1)
+    _share(texts, offset, windows, least, bound)
+    # A run ends where the bound changes, and where the segment ends.
+    inside = np.arange(bound.shape[1]) < windows[:, None]
+    starts = inside.copy()
+    starts[:, 1:] &= bound[:, 1:] != bound[:, :-1]
+    row, first = np.nonzero(starts)
+    last = np.append(row[1:] != row[:-1], True)
+    size = np.where(last, windows[row], np.append(first[1:], 0)) - first
+    return Runs(starts.sum(1), first, size, bound[row, first]).take(own)
+
+
+def _share(texts: list[bytes], offset: np.ndarray, windows: np.ndarray, least: np.ndarray, bound: np.ndarray) -> None:
+    """Lower ``bound`` (segment x window) to the smallest id among equal windows of segments with the same anchor."""
     anchor: dict[bytes, int] = {}
     which = np.fromiter(
         (anchor.setdefault(t[o : o + GRAM], len(anchor)) for t, o in zip(texts, offset.tolist(), strict=True)), np.int64, len(texts)
     )
-    some = np.flatnonzero(np.bincount(which)[which] > 1)
+    some = np.flatnonzero(np.bincount(which, minlength=1)[which] > 1)
     if not len(some):
-        return {}
+        return
     data = np.frombuffer(b"".join([texts[i] for i in some.tolist()]), np.uint8)
     sizes = np.array([len(texts[i]) for i in some.tolist()], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes + offset[some]
-    text = Hashed(data)
-    order = merge_sort(text, starts, ends)
-    s, e = starts[order], ends[order]
+    text = Suffixes(data)
+    order = merge_sort(text, which[some], starts, ends)
+    s, e, group, segment = starts[order], ends[order], which[some][order], some[order]
     near = np.zeros(len(order), np.int64)
-    near[1:] = text.common(s[:-1], s[1:], np.minimum(e[:-1] - s[:-1], e[1:] - s[1:]))
-    off, n_windows, ids = offset[some][order], windows[some][order], least[some][order]
-    found = {int(c): np.full(windows[c], least[c]) for c in some.tolist()}
-    segment = some[order]
+    near[1:] = text.common(s[:-1], s[1:], np.minimum(e[:-1] - s[:-1], e[1:] - s[1:])) * (group[1:] == group[:-1])
+    off, n_windows, ids = offset[segment], windows[segment], least[segment]
+    span = np.arange(WIDTH)
     for o in range(WIDTH - GRAM + 1):
         # Windows that begin o bytes before the anchor: the window's number in its segment is off - o.
         k = off - o
         has = np.flatnonzero((k >= 0) & (k < n_windows))
         if len(has) < 2:
             continue
+        # Neighbours whose extension reaches the window's end share its right part.
         right = np.cumsum(near < WIDTH - o)[has]
         left = text.of(s[has] - o, np.full(len(has), o, np.int64))
         by = np.lexsort((ids[has], left, right))
@@ -166,17 +158,13 @@ def _shared(texts: list[bytes], offset: np.ndarray, windows: np.ndarray, least:
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (l[1:] != l[:-1])])
         head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
         pairs = np.flatnonzero(head != by)
-        if not len(pairs):
-            continue
-        a, b = has[by[pairs]], has[head[pairs]]
-        span = np.arange(WIDTH)
-        equal = (data[(s[a] - o)[:, None] + span] == data[(s[b] - o)[:, None] + span]).all(1)
-        if not equal.all():
-            raise ValueError("different strings of equal hashes: choose another factor")
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if ids[y] < ids[x]:
-                found[int(segment[x])][k[x]] = ids[y]
-    return found
+        for part in range(0, len(pairs), 100_000):
+            p = pairs[part : part + 100_000]
+            a, b = has[by[p]], has[head[p]]
+            equal = (data[(s[a] - o)[:, None] + span] == data[(s[b] - o)[:, None] + span]).all(1)
+            if not equal.all():
+                raise ValueError("different strings of equal hashes: choose another factor")
+            bound[segment[a], k[a]] = np.minimum(bound[segment[a], k[a]], ids[b])
 
 
 _OUT = pa.schema(

@@ -115,10 +115,11 @@ def test_merge_sort_orders_suffixes():
     data = rng.integers(97, 99, 600).astype(np.uint8)
     starts = np.sort(rng.choice(560, 200, replace=False))
     ends = starts + rng.integers(1, 40, 200)
-    text = suffixes.Hashed(data)
-    order = suffixes.merge_sort(text, starts, ends)
+    text = suffixes.Suffixes(data)
+    group = np.arange(200) % 3
+    order = suffixes.merge_sort(text, group, starts, ends)
     cut = [data[a:b].tobytes() for a, b in zip(starts[order], ends[order], strict=True)]
-    assert cut == sorted(cut)
+    assert list(zip(group[order], cut, strict=True)) == sorted(zip(group, [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], strict=True))
     same = text.common(starts[:-1], starts[1:], np.minimum(ends[:-1] - starts[:-1], ends[1:] - starts[1:]))
     for a, b, c, d, n in zip(starts, ends, starts[1:], ends[1:], same, strict=False):
         x, y = data[a:b].tobytes(), data[c:d].tobytes()
