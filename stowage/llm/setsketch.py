@@ -9,10 +9,10 @@ are confirmed on their full shingle sets. Confirmed links give components.
 
 Groups never turn into all their pairs. Shingles that no other candidate has
 bound how much a document can share with any other: documents with too many of
-them leave, and pairs that cannot reach the threshold are never made. In each
-round a bucket links its members to two leaders only, one of them its least
-singular member; components merge, and buckets within one component are
-finished. Only what the rounds leave apart is paired across components.
+them leave, and pairs that cannot reach the threshold are never made. A bucket
+links its members to its least singular one first; components merge, and buckets
+within one component are finished. Only what is left apart is paired, across
+components.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 #: Pairs are dropped if their likeliest similarity is below this, 7 deviations under the threshold.
 DOUBT = 0.6
-#: Rounds of linking to leaders before the rest is paired across components.
-STAR_ROUNDS = 2
 _CHUNK = 2048
 
 
@@ -157,15 +155,11 @@ def _possible(a: str, b: str, shared: int) -> Column:
     return 100 * m >= shared * (F.col(f"n_{a}") + F.col(f"n_{b}") - m)
 
 
-def _star(members: DataFrame, turn: int, shared: int) -> DataFrame:
-    """Candidate pairs: every member of a bucket with two leaders of it, one of them the least singular."""
+def _star(members: DataFrame, shared: int) -> DataFrame:
+    """Candidate pairs: every member of a bucket with its least singular one."""
     me = F.struct("rep", "n_x", "own_x", "comp")
-    leaders = members.groupBy("h").agg(
-        F.min_by(me, F.struct(F.col("own_x") / F.col("n_x"), F.xxhash64("rep", F.lit(turn)))).alias("l1"),
-        F.min_by(me, F.xxhash64("rep", F.lit(-1 - turn))).alias("l2"),
-    )
-    met = members.join(leaders, "h").select("rep", "n_x", "own_x", "comp", F.explode(F.array("l1", "l2")).alias("l"))
-    met = met.filter("comp <> l.comp").select(
+    leaders = members.groupBy("h").agg(F.min_by(me, F.struct(F.col("own_x") / F.col("n_x"), "rep")).alias("l"))
+    met = members.join(leaders, "h").filter("comp <> l.comp").select(
         F.col("rep").alias("x"), "n_x", "own_x", F.col("l.rep").alias("y"), F.col("l.n_x").alias("n_y"), F.col("l.own_x").alias("own_y")
     )
     return _ordered(met.filter(_possible("x", "y", shared)))
@@ -229,19 +223,17 @@ def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
     )
     known = near_reps.select("rep", F.col("n").alias("n_x"), F.col("own").alias("own_x"))
     members = _apart(crowd.join(known, "rep").withColumn("comp", F.col("rep")))
-    links, comps = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if members.isEmpty():
-            break
-        pairs = _star(members, turn, shared) if turn < STAR_ROUNDS else _cross(members, shared)
-        found = settle(confirmed(pairs, near_reps, sets, shared), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
+    comps = None
+    if not members.isEmpty():
+        tested = settle(_star(members, shared), "pairs")
+        links = settle(confirmed(tested, near_reps, sets, shared), "links")
         comps = components(links)
         named = members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        if turn < STAR_ROUNDS:
-            members = _apart(named.withColumn("comp", F.coalesce("comp", "rep")))
+        members = _apart(named.withColumn("comp", F.coalesce("comp", "rep")))
+        rest = _cross(members, shared).join(tested, ["a", "b"], "left_anti")
+        more = settle(confirmed(rest, near_reps, sets, shared), "links")
+        if not more.isEmpty():
+            comps = components(links.union(more))
     out = sketched.join(reps.select(F.col("key").alias("_key"), "rep"), F.col("key") == F.col("_key"), "left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
