@@ -11,8 +11,9 @@ Groups never turn into all their pairs. Shingles that no other candidate has
 bound how much a document can share with any other: documents with too many of
 them leave, and pairs that cannot reach the threshold are never made. A bucket
 links its members to its least singular one first; components merge, and buckets
-within one component are finished. Only what is left apart is paired, across
-components.
+within one component are finished. Members of what is left apart meet again by
+their rarest shingles, of which two sets that link share one near the front, and
+are paired across components only where what follows it can reach the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import WordHashes, batches, mix, ngram_hashes, odd_numbers, settle, texts
+from stowage.operators.skew import attach
 
 #: Words per shingle; pairs link from SHARED percent of their union on.
 SHINGLE, SHARED = 5, 85
@@ -174,6 +176,24 @@ def _cross(members: DataFrame, shared: int) -> DataFrame:
     return _ordered(met.select(F.col("rep").alias("x"), "y"))
 
 
+def _by_rarest(members: DataFrame, sets: DataFrame, shared: int) -> DataFrame:
+    """The same members in buckets of their rarest shingles; own_x counts the shingles before.
+
+    With shingles ordered by how many members hold them, two sets that link have
+    their first common shingle among the first ``n - ceil(shared / 100 * n) + 1``
+    of each, and nothing before it in common.
+    """
+    reps = members.select("rep", "n_x", "comp").distinct()
+    held = sets.join(reps.select("rep"), "rep").select("rep", F.explode("hashes").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = attach(held, often, ["s"], ["rep"], weight="c")
+    ordered = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("l"))
+    n = F.size("l")
+    front = F.slice("l", F.lit(1), (n - F.ceil(n * shared / 100) + 1).cast("int"))
+    first = ordered.select("rep", F.posexplode(front).alias("at", "x")).filter("x.c > 1")
+    return first.join(reps, "rep").select(F.col("x.s").alias("h"), "rep", "n_x", F.col("at").cast("bigint").alias("own_x"), "comp")
+
+
 def _apart(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component."""
     split = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
@@ -230,7 +250,7 @@ def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
         comps = components(links)
         named = members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         members = _apart(named.withColumn("comp", F.coalesce("comp", "rep")))
-        rest = _cross(members, shared).join(tested, ["a", "b"], "left_anti")
+        rest = _cross(_apart(_by_rarest(members, sets, shared)), shared).join(tested, ["a", "b"], "left_anti")
         more = settle(confirmed(rest, near_reps, sets, shared), "links")
         if not more.isEmpty():
             comps = components(links.union(more))
