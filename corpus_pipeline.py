@@ -29,10 +29,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, langid.identify(docs).filter("NOT accepted"))
 
 
+#: Percent of the union of two documents' shingles from which the near-duplicate stage takes them for copies.
+NEAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, the one of the smallest id, and one of repeated rows."""
     prepare(spark)
-    kept = _without(docs, setsketch.near_duplicates(docs).filter("NOT kept"))
+    kept = _without(docs, setsketch.near_duplicates(docs, shared=NEAR).filter("NOT kept"))
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once)

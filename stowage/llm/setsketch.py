@@ -18,6 +18,7 @@ are paired across components only where what follows it can reach the threshold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,9 +32,8 @@ from stowage.operators.skew import attach
 
 #: Words per shingle; pairs link from SHARED percent of their union on.
 SHINGLE, SHARED = 5, 85
-#: Bands and registers in each. A pair at the threshold shares no band with a chance of 4e-7.
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+#: Registers of a band, and the chance with which a pair at the threshold may share no band.
+ROWS, MISS = 5, 4.3e-7
 #: Base and rate of the registers' exponential spacing.
 BASE, RATE = 1.001, 20.0
 #: Pairs are dropped if their likeliest similarity is below this, 7 deviations under the threshold.
@@ -41,10 +41,19 @@ DOUBT = 0.6
 _CHUNK = 2048
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
+def bands(shared: int) -> int:
+    """Bands with which a pair at the threshold is missed with a chance of at most MISS: 25 at 85, 37 at 80."""
+    return math.ceil(math.log(MISS) / math.log1p(-((shared / 100) ** ROWS))) if shared < 100 else 1
+
+
+#: Registers at the operator's own threshold.
+REGISTERS = bands(SHARED) * ROWS
+
+
+def registers(hashes: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """SetSketch registers (16 bits) of a set of 64-bit hashes."""
-    factors, shifts = odd_numbers(REGISTERS, 41), odd_numbers(REGISTERS, 42)
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    factors, shifts = odd_numbers(count, 41), odd_numbers(count, 42)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), _CHUNK):
         part = hashes[a : a + _CHUNK, None] * factors
         part += shifts
@@ -60,7 +69,7 @@ def shingles(text: str, known: WordHashes) -> np.ndarray:
     return np.unique(ngram_hashes(words, SHINGLE))
 
 
-def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(count: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches(it):
         n, keys, regs = [], [], []
@@ -70,7 +79,7 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 both = [int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (1, 2)]
                 keys.append(both[0].to_bytes(8, "little") + both[1].to_bytes(8, "little"))
-                regs.append(registers(s).tobytes())
+                regs.append(registers(s, count).tobytes())
             else:
                 keys.append(None)
                 regs.append(None)
@@ -89,7 +98,7 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), column], names=["rep", "hashes"])
 
 
-def likeliest(plus: np.ndarray, minus: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def likeliest(plus: np.ndarray, minus: np.ndarray, na: np.ndarray, nb: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """Similarity of greatest likelihood, given how many registers are greater and less, and the set sizes."""
     u, v = na / (na + nb), nb / (na + nb)
     most = np.minimum(u / v, v / u)
@@ -99,17 +108,17 @@ def likeliest(plus: np.ndarray, minus: np.ndarray, na: np.ndarray, nb: np.ndarra
         j = step * most
         up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
         same = np.maximum(1 - up - down, 1e-12)
-        value = plus * np.log(up) + minus * np.log(down) + (REGISTERS - plus - minus) * np.log(same)
+        value = plus * np.log(up) + minus * np.log(down) + (count - plus - minus) * np.log(same)
         better = value > best
         best[better], at[better] = value[better], j[better]
     return at
 
 
-def _likely(doubt: float, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(doubt: float, count: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(it):
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, count) for c in ("regs_a", "regs_b"))
         na, nb = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-        j = likeliest((a > b).sum(1), (a < b).sum(1), na, nb)
+        j = likeliest((a > b).sum(1), (a < b).sum(1), na, nb, count)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(j >= doubt))
 
 
@@ -119,7 +128,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, shared: int) -
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     # Sets of too different sizes cannot share enough.
     met = met.filter(100 * F.least("n_a", "n_b") >= shared * F.greatest("n_a", "n_b"))
-    likely = met.mapInArrow(partial(_likely, DOUBT * shared / SHARED), "a long, b long")
+    likely = met.mapInArrow(partial(_likely, DOUBT * shared / SHARED, bands(shared) * ROWS), "a long, b long")
     full = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}"))
     both = likely.join(full("a"), "a").join(full("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -215,13 +224,13 @@ def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
     judged each by its own text. A null id links with nothing and is kept.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = settle(base.mapInArrow(_sketch, "doc_id long, n long, key binary, regs binary"), "sketches")
+    sketched = settle(base.mapInArrow(partial(_sketch, bands(shared) * ROWS), "doc_id long, n long, key binary, regs binary"), "sketches")
     linked = sketched.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = linked.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
     reps = settle(classes.select("key", F.col("c.doc_id").alias("rep"), "c.n", "c.regs"), "classes")
     width = 2 * ROWS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(BANDS)])
-    banded = reps.select("rep", F.explode(bands).alias("h"))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(bands(shared))])
+    banded = reps.select("rep", F.explode(keys).alias("h"))
     crowded = banded.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     crowd = settle(banded.join(crowded, "h").select("h", "rep"), "buckets")
     near = crowd.select("rep").distinct()
