@@ -31,9 +31,19 @@ def test_coding_equals_the_library(spark, library, docs, corpus):
 
 
 def test_merges_skip_stale_entries():
-    ranks = {("a", "b"): 0, ("b", "c"): 1, ("ab", "c"): 2, ("a", "a"): 3}
-    assert bpe.merge(list("abcabcaa"), ranks) == ["abc", "abc", "aa"]
-    assert bpe.merge(list("aaaaa"), ranks) == ["aa", "aa", "a"]
+    merges = bpe.Merges({"a": 0, "b": 1, "c": 2}, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a")])
+    names = {n: s for s, n in merges.number.items()}
+    assert [names[s] for s in merges.apply([0, 1, 2, 0, 1, 2, 0, 0])] == ["abc", "abc", "aa"]
+    assert [names[s] for s in merges.apply([0] * 5)] == ["aa", "aa", "a"]
+    assert [names[s] for s in merges.apply([0] * 600)] == ["aa"] * 300
+    assert merges.apply([1, 0]) == [1, 0] and merges.apply([2]) == [2]
+
+
+def test_words_are_coded_alike_from_both_generations(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    coder = bpe.Codec(vocabulary())
+    for text in ["one two three four five, one two", "five four three two one", "l'été d'été", "one two three four five, one two"]:
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_empty_table(nothing, clashing, docs):
