@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, decontaminate, langid, phrases, quality, rules, secrets, setsketch, suffixes, warc
+from stowage.llm import bpe, decontaminate, langid, packing, phrases, quality, rules, runs, secrets, setsketch, suffixes, warc, whitening
 from stowage.llm.common import read
 from stowage.llm.oracles import ORACLES
 from stowage.storage import scratch_path
@@ -85,6 +85,23 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(read(spark, sf_dir, "documents"), plant=True)
+    return found.select(
+        "doc_id", F.size("starts").cast("bigint").alias("n_runs"), runs.strongest().alias("best"),
+        F.sha2(runs.listed().cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", "best.*", "runs_sha256", "collapsed_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(read(spark, sf_dir, "embeddings")))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -96,4 +113,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array": op10_suffix_array,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
