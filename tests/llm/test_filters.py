@@ -1,8 +1,12 @@
 import base64
+import bz2
 import gzip
+import json
 import random
 import re
+import tracemalloc
 import urllib.parse
+import zlib
 from collections import Counter
 
 import pytest
@@ -134,11 +138,81 @@ def test_redaction_keeps_other_columns(spark, clashing):
     assert secrets.redact(clashing).columns == clashing.columns
 
 
-def test_inflated_in_pieces(monkeypatch):
+def kinds_in(text):
+    return {secrets.KINDS[k] for _, k, _ in secrets.unwrap(text)[0]}
+
+
+@pytest.mark.parametrize("after", [" tail" * 400, "", "-" * 30000])
+def test_inflated_in_pieces(monkeypatch, after):
     monkeypatch.setattr(secrets, "PIECE", 1000)
     monkeypatch.setattr(secrets, "OVERLAP", 200)
-    text = base64.b64encode(gzip.compress(("ü-" * 3000 + SECRET + " tail" * 400).encode())).decode()
-    assert {secrets.KINDS[k] for _, k, _ in secrets.unwrap(text)[0]} >= {"assign", "hex"}
+    text = base64.b64encode(gzip.compress(("ü-" * 3000 + SECRET + after).encode())).decode()
+    assert kinds_in(text) >= {"assign", "hex"}
+    # An inner run longer than the overlap, across many borders.
+    inner = base64.b64encode(gzip.compress(random.Random(1).randbytes(4000) + SECRET.encode())).decode()
+    assert kinds_in(base64.b64encode(zlib.compress(("x y " * 300 + inner + " z").encode())).decode()) >= {"assign", "hex"}
+
+
+PLAIN = "password=abcdefghijklmnopqrst"
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def wrapped(text, width, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "/v1/blob/" + b64(PLAIN.encode()), "id-" + b64(PLAIN.encode()), wrapped(b64((PLAIN + " and more text" * 9).encode()), 40),
+        wrapped(b64(("some text before " * 9 + PLAIN).encode()), 76, "\r\n  "), b64(("a\xa0b " + PLAIN).encode()), b64(("a\x00b " + PLAIN).encode()),
+        b64(b"a\xffb " + PLAIN.encode()), b64(gzip.compress(b"a\xffb " + PLAIN.encode())), b64(gzip.compress(b"one") + gzip.compress(PLAIN.encode())),
+        b64(gzip.compress(b"password=abcdefg") + gzip.compress(b"hijklmnopqrst")), b64(bz2.compress(PLAIN.encode())),
+        wrapped(b64(zlib.compress(random.Random(2).randbytes(300) + PLAIN.encode())), 64),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(PLAIN.encode())), urllib.parse.quote_from_bytes(zlib.compress(PLAIN.encode())),
+        json.dumps(wrapped(b64((PLAIN + " and more text" * 9).encode()), 40)), "ab/" + base64.urlsafe_b64encode(b"\xfb\xff?" + PLAIN.encode()).decode(),
+        "x^2 " * 50 + b64(PLAIN.encode()), "漢字 " + b64(PLAIN.encode()),
+    ],
+)
+def test_secrets_in_layers_that_are_not_ideal(text):
+    assert "assign" in kinds_in(text)
+    assert "assign" in kinds_in("before " + text + " after")
+    left = secrets.masked(text, secrets.unwrap(text)[0], "[secret]")
+    assert "assign" not in kinds_in(left)
+
+
+CODECS = [
+    lambda d: base64.b64encode(d), lambda d: base64.urlsafe_b64encode(d), lambda d: base64.b64encode(gzip.compress(d)),
+    lambda d: base64.b64encode(zlib.compress(d, 9)), lambda d: base64.b64encode(bz2.compress(d)),
+    lambda d: urllib.parse.quote_from_bytes(d, safe="").encode(), lambda d: "".join(f"\\x{b:02x}" for b in d).encode(),
+    lambda d: "".join(f"\\u{b:04x}" for b in d).encode(), lambda d: "".join(f"&#{b};" for b in d).encode(),
+    lambda d: wrapped(base64.b64encode(d).decode(), 60).encode(), lambda d: json.dumps(d.decode("latin-1")).encode(),
+    lambda d: gzip.compress(d[: len(d) // 2]) + gzip.compress(d[len(d) // 2 :]),
+]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_nesting(seed):
+    rng = random.Random(seed)
+    data = b"some text " * rng.randint(0, 5) + PLAIN.encode() + b" and more" * rng.randint(0, 5)
+    for codec in rng.choices(CODECS[:-1], k=rng.randint(1, 5)):
+        data = rng.choice([b"", b"/v1/", b"x: "]) + codec(data)
+    assert "assign" in kinds_in(data.decode("latin-1"))
+    assert "assign" in kinds_in(CODECS[-1](data).decode("latin-1"))
+
+
+def test_a_large_stream_takes_little_memory():
+    block = bytes(1 << 20)
+    packer = zlib.compressobj(9)
+    text = b64(b"".join([packer.compress(block + b"%d " % i) for i in range(150)]) + packer.compress(PLAIN.encode()) + packer.flush())
+    tracemalloc.start()
+    kinds = kinds_in(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "assign" in kinds and peak < 100 << 20
 
 
 ITEMS = [
