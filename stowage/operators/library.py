@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from ..functions import file_name, parent_dir
 from ..functions.paths import exact_suffix, file_stem
 from ..sources.archives import TASKS_PER_CORE
 from ..storage import names_in, settle
+from .numbering import served
+from .prefix import SUM, running, sliced
 from .skew import attach
 
 # Numbered names end in _1, _2 and so on; a number has no leading zero.
@@ -42,31 +43,29 @@ def _names(wants: DataFrame, taken: DataFrame | None) -> DataFrame:
                 F.lit(True).alias("_on_disk"),
             )
         )
-    return claims.groupBy("_folder", "_name").agg(
+    names = claims.groupBy("_folder", "_name").agg(
         F.sum("_want").alias("_want"), F.bool_or("_on_disk").alias("_on_disk")
     )
+    return names.select("*", file_stem("_name").alias("_stem"), exact_suffix("_name").alias("_suffix"))
 
 
-def _families(names: DataFrame) -> DataFrame:
-    """Names with their family: the topmost name that numbering could lead here from.
+def _numbered_names(names: DataFrame) -> DataFrame:
+    """The names that stand beside a wanted name as its numbered copies, with their place in the family.
 
     ``a_1_2.jpg`` can meet the numbered names of ``a_1.jpg`` only if some file
     wants ``a_1.jpg``, and those of ``a.jpg`` only through it. So the family
     is found by cutting numbers off the end for as long as each shorter name
-    is wanted by a file.
+    is wanted by a file: ``_level`` times. ``_parent`` is the name one number
+    shorter, ``_number`` that number, ``_family`` the topmost name.
     """
-    named = names.select(
-        "*", file_stem("_name").alias("_stem"), exact_suffix("_name").alias("_suffix")
-    )
     chain = F.regexp_extract("_stem", NUMBER_CHAIN, 1)
     depth = F.length(chain) - F.length(F.regexp_replace(chain, "_", ""))
-    tailed = named.filter(F.col("_stem").rlike(NUMBER_TAIL))
+    tailed = names.filter(F.col("_stem").rlike(NUMBER_TAIL))
     parts = F.split("_stem", "_")
     steps = (
-        tailed.select("_folder", "_name", "_suffix", parts.alias("_parts"), F.explode(F.sequence(F.lit(1), depth)).alias("_level"))
+        tailed.select(*names.columns, parts.alias("_parts"), F.explode(F.sequence(F.lit(1), depth)).alias("_level"))
         .select(
-            "_folder",
-            "_name",
+            *names.columns,
             "_level",
             F.concat(
                 F.array_join(F.slice("_parts", F.lit(1), F.size("_parts") - F.col("_level")), "_"), F.col("_suffix")
@@ -76,7 +75,7 @@ def _families(names: DataFrame) -> DataFrame:
     wanted = names.filter(F.col("_want") > 0).select("_folder", F.col("_name").alias("_above"))
     reached = (
         steps.join(wanted, ["_folder", "_above"])
-        .groupBy("_folder", "_name")
+        .groupBy(*names.columns)
         .agg(F.map_from_entries(F.collect_list(F.struct("_level", "_above"))).alias("_tops"))
     )
     # Highest level reached without a gap; at most one entry per number in a name.
@@ -87,62 +86,36 @@ def _families(names: DataFrame) -> DataFrame:
             (got == level - 1) & F.map_contains_key("_tops", level), level
         ).otherwise(got),
     )
-    tops = reached.select("_folder", "_name", F.element_at("_tops", climbed).alias("_top"))
-    return named.join(tops, ["_folder", "_name"], "left").withColumn("_family", F.coalesce("_top", "_name")).drop("_top")
-
-
-def _serve_families(
-    order_cols: list[str], last_number: int | None
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Serve families one after another from rows sorted by family, names on disk first, then by order.
+    return reached.withColumn("_level", climbed).filter("_level > 0").select(
+        *names.columns,
+        "_level",
+        F.element_at("_tops", F.col("_level")).alias("_family"),
+        F.element_at("_tops", F.lit(1)).alias("_parent"),
+        F.element_at(parts, -1).try_cast("bigint").alias("_number"),
+    )
 
-    Only the names used in the current family are held.
-    """
 
-    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, next_number = None, set(), {}
-        for pdf in batches:
-            given, wanted = [], pdf["_claim"].notna()
-            columns = ["_folder", "_family", "_name", "_stem", "_suffix"]
-            for folder, family, name, stem, suffix, claims in zip(*[pdf[c] for c in columns], wanted, strict=True):
-                if (folder, family) != current:
-                    current, used, next_number = (folder, family), set(), {}
-                choice = name
-                if claims and name in used:
-                    number = next_number.get(name, 1)
-                    while (last_number is None or number <= last_number) and f"{stem}_{number}{suffix}" in used:
-                        number += 1
-                    next_number[name] = number
-                    choice = None if last_number is not None and number > last_number else f"{stem}_{number}{suffix}"
-                used.add(choice)
-                given.append(None if choice is None else f"{folder}/{choice}")
-            yield pdf[order_cols].assign(_given=given)[wanted]
-
-    return serve
-
-
-def _ranked(rivals: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Adds ``_claim``, the rank of a row among those that want its name, however many there are.
-
-    Rows are range-partitioned by name and order, so a crowded name spans many
-    slices. Ranks count inside a slice; rows of the same name in the slices
-    before are added. A slice border splits one name at most, so there are
-    fewer of those sums than slices.
-    """
-    name = ["_folder", "_name"]
-    sliced = rivals.repartitionByRange(*name, *order_cols).withColumn("_slice", F.spark_partition_id())
-    ranged = settle(sliced, "rivals")
-    before = Window.partitionBy(*name).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        ranged.groupBy(*name, "_slice").agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.sum("_rows").over(before))
-        .filter("_before > 0")
-        .drop("_rows")
+def _contested(names: DataFrame, hot_rows: int | None) -> DataFrame:
+    """The names of families in which some name is wanted twice, or wanted and on disk; ``_mixed`` families have several."""
+    busy = F.col("_want") + F.col("_on_disk").cast("bigint") > 1
+    numbered = settle(_numbered_names(names), "numbered")
+    family = numbered.groupBy("_folder", F.col("_family").alias("_name")).agg(
+        F.count("*").alias("_below"), F.max(busy).alias("_busy_below")
+    )
+    tops = (
+        names.join(numbered.select("_folder", "_name"), ["_folder", "_name"], "left_anti")
+        .join(family, ["_folder", "_name"], "left")
+        .filter(busy | F.coalesce("_busy_below", F.lit(False)))
+        .select(
+            *names.columns, F.lit(0).alias("_level"), F.lit(None).cast("string").alias("_parent"),
+            F.lit(None).cast("bigint").alias("_number"), F.col("_below").isNotNull().alias("_mixed"), "_below",
+        )
     )
-    inside = Window.partitionBy(*name, "_slice").orderBy(*order_cols)
-    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(sums), [*name, "_slice"], "left")
-    claim = F.col("_place") + F.coalesce("_before", F.lit(0))
-    return placed.withColumn("_claim", claim).drop("_slice", "_place", "_before")
+    tops = settle(tops, "tops")
+    clash = tops.filter("_mixed").select("_folder", F.col("_name").alias("_family"), "_below", "_mixed")
+    below = attach(numbered, clash, ["_family", "_folder"], ["_name"], "_below", hot_rows).filter("_mixed")
+    columns = [*names.columns, "_level", "_parent", "_number", "_mixed"]
+    return tops.select(*columns).unionByName(below.select(*columns))
 
 
 def resolve_destinations(
@@ -154,14 +127,14 @@ def resolve_destinations(
 ) -> DataFrame:
     """Give every file a free name at its ``location``: adds ``destination`` and ``error``.
 
-    Files are served in ``order_cols`` order. A name that is free is taken as it
-    is, else the smallest free ``stem_N.ext``. ``last_number`` bounds N; files
-    beyond it get an error. Without it every file gets a name. ``taken`` holds
-    the ``destination`` paths already on disk.
+    Files are served in ``order_cols`` order, which names each file. A name that
+    is free is taken as it is, else the smallest free ``stem_N.ext``.
+    ``last_number`` bounds N; files beyond it get an error. Without it every
+    file gets a name. ``taken`` holds the ``destination`` paths already on disk.
 
     Three cases, cheapest first: nobody else wants the name; several files want
     it but no numbered name is in the way (the number is then the rank); numbered
-    names already exist beside it (served in order, family by family).
+    names stand beside it (:mod:`.numbering`).
     """
     order_cols = list(order_cols)
     # Never NULL, so that joins on them need no not-null filters.
@@ -169,49 +142,46 @@ def resolve_destinations(
         "_name", F.coalesce(file_name("location"), F.lit(""))
     )
     wants = rows.select("_folder", "_name", *order_cols)
-    busy = F.col("_want") + F.col("_on_disk").cast("bigint") > 1
-    family = Window.partitionBy("_folder", "_family")
-    contested = (
-        _families(_names(wants, taken))
-        .withColumn("_mixed", F.count("*").over(family) > 1)
-        .withColumn("_clash", F.max(busy).over(family))
-        .filter("_clash")
-        .drop("_clash")
-    )
-    facts = contested.filter(F.col("_want") > 0)
-    rivals = attach(wants, facts, ["_name", "_folder"], order_cols, "_want", hot_rows).filter(
-        F.col("_family").isNotNull()
-    )
-
-    served = _ranked(
-        rivals.select("_folder", "_name", "_stem", "_suffix", "_family", "_on_disk", "_mixed", *order_cols), order_cols
+    names = settle(_contested(_names(wants, taken), hot_rows), "names")
+    facts = names.filter(F.col("_want") > 0).select("_folder", "_name", "_want", "_on_disk", "_stem", "_suffix", "_mixed")
+    rivals = attach(wants, facts, ["_name", "_folder"], order_cols, "_want", hot_rows).filter(F.col("_stem").isNotNull())
+
+    # Files ranked within their name; among them, marks of the first file that wants each numbered name beside it.
+    beside = names.filter("_level > 0 AND _want > 0 AND NOT _on_disk").select("_folder", "_name", "_parent")
+    first = (
+        wants.join(beside, ["_folder", "_name"])
+        .groupBy("_folder", "_name", "_parent")
+        .agg(F.min(F.struct(*order_cols)).alias("_first"))
+        .select("_folder", F.col("_parent").alias("_name"), "_first.*", F.col("_name").alias("_child"))
     )
+    name = ["_folder", "_name"]
+    ranged = sliced(rivals.withColumn("_file", F.lit(1)).unionByName(first, allowMissingColumns=True), name, order_cols)
+    ranked = running(ranged, name, order_cols, {"_claim": (SUM, F.col("_file").cast("bigint"))})
+    claims = ranked.filter("_file = 1").drop("_child", "_slice", "_file", "_want")
     if last_number is not None:
-        served = served.filter(F.col("_claim") <= last_number + 1)
-    # An unmixed family is the name itself.
-    number = F.col("_claim") - 1 + F.col("_on_disk").cast("int")
-    ranked = served.filter(~F.col("_mixed")).select(
+        claims = claims.filter(F.col("_claim") <= last_number + 1)
+    alone = claims.filter(~F.col("_mixed")).select(
+        *order_cols, "_folder", "_name", "_stem", "_suffix", (F.col("_claim") - 1 + F.col("_on_disk").cast("bigint")).alias("_number")
+    )
+    mixed = names.filter("_mixed")
+    if mixed.isEmpty():
+        numbered = alone
+    else:
+        marks = ranked.filter("_child IS NOT NULL").select("_folder", "_child", F.col("_claim").alias("_earlier"))
+        among = claims.filter("_mixed")
+        given = served(mixed, among.select(*name, *order_cols, "_claim"), marks, order_cols, last_number, hot_rows)
+        numbered = alone.unionByName(
+            among.select(*order_cols, "_folder", "_name", "_stem", "_suffix").join(given, order_cols).select(*alone.columns)
+        )
+    too_far = F.lit(False) if last_number is None else F.col("_number") > last_number
+    given = numbered.select(
         *order_cols,
-        F.when(number == 0, F.concat("_folder", F.lit("/"), "_family"))
-        .when(F.lit(True) if last_number is None else number <= last_number, _numbered("_folder", "_stem", "_suffix", number))
+        F.when(too_far, F.lit(None))
+        .when(F.col("_number") == 0, F.concat("_folder", F.lit("/"), "_name"))
+        .otherwise(_numbered("_folder", "_stem", "_suffix", F.col("_number")))
         .alias("_given"),
+        F.lit(True).alias("_served"),
     )
-    in_family = ["_folder", "_family", "_name", "_stem", "_suffix", "_on_disk"]
-    occupied = contested.filter(F.col("_on_disk") & F.col("_mixed")).select(
-        *in_family,
-        # No file of the plan, hence no place in its order; typed, so that ids keep their type.
-        *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in order_cols],
-        F.lit(None).cast("bigint").alias("_claim"),
-    )
-    claims = served.filter("_mixed").select(*in_family, *order_cols, "_claim")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*order_cols).schema)
-    simulated = (
-        claims.unionByName(occupied)
-        .repartition("_folder", "_family")
-        .sortWithinPartitions("_folder", "_family", F.col("_claim").isNotNull(), *order_cols)
-        .mapInPandas(_serve_families(order_cols, last_number), f"{schema}, _given string")
-    )
-    given = ranked.unionByName(simulated).withColumn("_served", F.lit(True))
     placed = rows.join(given, order_cols, "left")
     free = F.col("_served").isNull()
     if last_number is not None:

@@ -31,7 +31,8 @@ def oracle(name: str, uses: str, sql: str) -> None:
     for part in uses.split():
         add(part)
     head = ",\n".join(f"{part} AS ({CTES[part].strip()})" for part in order)
-    ORACLES[name] = f"WITH {head}\n{sql.strip()}" if head else sql.strip()
+    with_ = "WITH RECURSIVE" if "walk(" in sql else "WITH"
+    ORACLES[name] = f"{with_} {head}\n{sql.strip()}" if head else sql.strip()
 
 
 def name_of(path: str) -> str:
@@ -130,10 +131,10 @@ cte("dated", "side", """
 SELECT archive, json_path, max(taken) AS taken FROM side WHERE taken IS NOT NULL GROUP BY ALL
 """)
 cte("tags", "doc", """
-SELECT archive, file_path,
+SELECT coalesce(archive, 'orders.zip') AS archive, coalesce(file_path, 'order_' || o_orderkey || '.jpg') AS file_path,
        CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') WHEN 'F' THEN 'unknown' END AS dto,
        strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS dt
-FROM orders JOIN doc ON o_orderkey = entry_ix
+FROM orders LEFT JOIN doc ON o_orderkey = entry_ix
 """)
 cte("tag1", "tags", """
 SELECT archive, file_path, dto, dt FROM (
@@ -256,7 +257,9 @@ oracle("exif_dates", "doc tag1", f"""
 SELECT {DOC}, CASE WHEN {suffix_of('d.file_path')} IN ('.jpg', '.jpeg', '.tiff', '.tif') AND file_size > 0 THEN
    coalesce(CASE WHEN dto IS NOT NULL THEN try_strptime(dto, '%Y:%m:%d %H:%M:%S') END,
             CASE WHEN dto IS NULL THEN try_strptime(dt, '%Y:%m:%d %H:%M:%S') END) END AS exif_date
-FROM (SELECT * FROM doc) d LEFT JOIN tag1 USING (archive, file_path)
+FROM (SELECT archive, entry_ix, file_path, file_size FROM doc
+      UNION ALL SELECT 'orders.zip', o_orderkey, 'order_' || o_orderkey || '.jpg', 1 FROM orders WHERE o_orderkey NOT IN (SELECT entry_ix FROM doc)) d
+LEFT JOIN tag1 USING (archive, file_path)
 """)
 oracle("sidecar_dates", "dated", "SELECT * FROM dated")
 cte("exp", "li", f"""
@@ -549,6 +552,37 @@ FROM (SELECT l.*, row_number() OVER (PARTITION BY location ORDER BY {LINE_ORDER}
       LEFT JOIN (SELECT DISTINCT 'out/' || strftime(o_orderdate, '%Y/%m/') || 'IMG_' || o_custkey || 'x1.jpg' AS location FROM orders) t
       USING (location))
 """)
+# Wanted: part.jpg, and beside it part_0.jpg to part_49.jpg, one month a folder. part_0.jpg is no numbered name. Number n
+# is passed over (k counts how many were) if fewer than n - r numbers below it were, r of part.jpg's files having come
+# before the first that wants the name itself; else one of the files of part.jpg takes it.
+oracle("resolve_destination_families", "li", f"""
+, l AS (SELECT *, CASE WHEN l_linenumber > 3 THEN 'part' ELSE 'part_' || l_partkey % 50 END AS stem,
+               'out/' || strftime(file_date, '%Y/%m/') AS folder,
+               row_number() OVER (ORDER BY {LINE_ORDER}) AS o FROM li),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY o) AS claim FROM l),
+parents AS (SELECT folder, count(*) - 1 AS many FROM l WHERE stem = 'part' GROUP BY 1),
+children AS (SELECT c.folder, c.stem, CAST(substr(c.stem, 6) AS BIGINT) AS n, c.first, p.many,
+                    greatest(0, (SELECT count(*) FROM l WHERE l.folder = c.folder AND l.stem = 'part' AND l.o < c.first) - 1) AS r
+             FROM (SELECT folder, stem, min(o) AS first FROM l WHERE stem NOT IN ('part', 'part_0') GROUP BY 1, 2) c
+             JOIN parents p ON p.folder = c.folder),
+walk(folder, n, k, skipped) AS (
+  SELECT folder, 0::BIGINT, 0::BIGINT, false FROM parents
+  UNION ALL
+  SELECT w.folder, w.n + 1, w.k + CASE WHEN c.n IS NOT NULL AND w.k < c.n - c.r THEN 1 ELSE 0 END, c.n IS NOT NULL AND w.k < c.n - c.r
+  FROM walk w LEFT JOIN children c ON c.folder = w.folder AND c.n = w.n + 1 WHERE w.n < 49),
+taken AS (SELECT c.folder, c.stem FROM children c JOIN walk w ON w.folder = c.folder AND w.n = c.n
+          WHERE NOT w.skipped AND c.n - w.k <= c.many),
+numbered AS (
+  SELECT r.* EXCLUDE (claim), claim - 1 + CASE WHEN t.stem IS NULL THEN 0 ELSE 1 END AS j
+  FROM ranked r LEFT JOIN taken t ON t.folder = r.folder AND t.stem = r.stem),
+placed AS (
+  SELECT *, CASE WHEN j > 0 AND stem = 'part'
+                 THEN j + (SELECT count(*) FROM walk w WHERE w.folder = numbered.folder AND w.skipped AND w.n - w.k + 1 <= j)
+                 ELSE j END AS number FROM numbered)
+SELECT {LINE_ORDER}, folder || stem || '.jpg' AS location,
+       folder || stem || CASE WHEN number = 0 THEN '' ELSE '_' || number END || '.jpg' AS destination, CAST(NULL AS VARCHAR) AS error
+FROM placed
+""")
 oracle("write_library", "plan", """
 SELECT archive, count(*) AS total_files, count(*) AS extracted, 0::BIGINT AS errors, CAST(sum(file_size) AS BIGINT) AS bytes_extracted
 FROM plan WHERE to_extract GROUP BY 1

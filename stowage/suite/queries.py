@@ -165,7 +165,8 @@ def zip_dates(spark, sf):
 @query
 def exif_dates(spark, sf):
     tags = v.exif_tags(spark, sf)
-    return dt.with_exif_date(_docs(spark, sf).drop("content"), tags).select(*MEMBER, "exif_date")
+    images = _docs(spark, sf).select(*MEMBER, "file_path", "file_size").unionByName(v.order_members(spark, sf))
+    return dt.with_exif_date(images, tags).select(*MEMBER, "exif_date")
 
 
 @query

@@ -142,8 +142,18 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose ids meet no document, as images of an archive of their own."""
+    docs = doc_entries(spark, sf_dir).select("entry_ix")
+    return table(spark, sf_dir, "orders").withColumn("entry_ix", F.col("o_orderkey")).join(docs, "entry_ix", "left_anti").select(
+        F.lit("orders.zip").alias("archive"), "entry_ix",
+        F.concat(F.lit("order_"), F.col("entry_ix").cast("string"), F.lit(".jpg")).alias("file_path"),
+        F.lit(1).cast("bigint").alias("file_size"),
+    )
+
+
 def exif_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as image tags of the documents whose ids meet."""
+    """Orders as image tags: of the documents whose ids meet, else of the members of ``orders.zip``."""
     docs = doc_entries(spark, sf_dir).select("archive", "entry_ix", "file_path")
     stamp = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
     orders = table(spark, sf_dir, "orders").select(
@@ -151,7 +161,10 @@ def exif_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", stamp).when(F.col("o_orderstatus") == "F", F.lit("unknown")).alias("dto"),
         stamp.alias("dt"),
     )
-    return orders.join(docs, "entry_ix").select("archive", "file_path", "dto", "dt")
+    own = F.concat(F.lit("order_"), F.col("entry_ix").cast("string"), F.lit(".jpg"))
+    return orders.join(docs, "entry_ix", "left").select(
+        F.coalesce("archive", F.lit("orders.zip")).alias("archive"), F.coalesce("file_path", own).alias("file_path"), "dto", "dt"
+    )
 
 
 def date_cache(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 
 from stowage.operators import library as lib
 from stowage.operators import planning as pl
+from stowage.operators.numbering import decide_skips
 
 PLANNED = "archive string, entry_ix bigint, location string"
 
 
 def in_turn(planned, taken, last):
     """Serve files one after another: smallest free number."""
-    used, out = set(taken), {}
+    used, out, reached = set(taken), {}, {}
     for archive, ix, location in sorted(planned):
         folder, name = location.rsplit("/", 1)
         dot = name.rfind(".")
         stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
         choice, k = location, 0
         while choice in used and (last is None or k <= last):
-            k += 1
+            k = max(k + 1, reached.get(location, 0))  # numbers below were used when they were last asked for
             choice = f"{folder}/{stem}_{k}{suffix}"
+        reached[location] = k
         if last is not None and k > last:
             choice = None
         else:
@@ -72,6 +74,35 @@ def test_one_name_wanted_by_nearly_all(rows):
     assert got == in_turn(planned, [], 4) and list(got.values()).count(None) == 355
 
 
+def test_numbers_beside_one_name_wanted_by_nearly_all(spark):
+    # One family of 200,000 wants: a.jpg, its numbered names wanted late and early, and some on disk.
+    df = spark.range(200_000).selectExpr(
+        "'z' AS archive", "id AS entry_ix",
+        "'o/a' || CASE WHEN id % 4 = 0 THEN '_' || (pmod(id * 7919, 120000) + 1) WHEN id % 97 = 1 THEN '_1_' || id ELSE '' END || '.jpg' AS location",
+    )
+    disk = spark.range(3000).selectExpr("'o/a_' || (id * 31 + 5) || '.jpg' AS destination")
+    got = {r.entry_ix: r.destination for r in lib.resolve_destinations(df, disk).collect()}
+    want = in_turn([tuple(r) for r in df.collect()], [r.destination for r in disk.collect()], None)
+    assert got == {i: d for (_, i), d in want.items()} and len(set(got.values())) == 200_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_skips_equal_counting_through(spark, rows, seed):
+    rng = random.Random(seed)
+    data, want = [], {}
+    for parent in "abc":
+        k = 0
+        for n in sorted(rng.sample(range(1, 400), 120)):
+            slack = None if rng.random() < 0.2 else n - rng.randint(0, n) if parent == "a" else n // 2 + rng.randint(-3, 3)
+            skip = slack is None or k < slack
+            want[parent, n] = (skip, k)
+            k += skip
+            data.append(("o", parent, n, slack))
+    for rounds in (1, 3, 50):
+        got = decide_skips(rows(data, "_folder string, _parent string, _number bigint, _slack bigint"), rounds).collect()
+        assert {(r["_parent"], r["_number"]): (r["_skip"], r["_below"]) for r in got} == want
+
+
 def test_write_library(spark, rows, tmp_path):
     planned = rows(
         [("z", 0, "p/a.jpg", 3, datetime(2020, 1, 5), "o/a.jpg", None, bytearray(b"abc")),
