@@ -2,88 +2,96 @@
 
 from __future__ import annotations
 
+import os
+import stat
 from collections.abc import Iterator
-from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import partial
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.keys import check_strategy
 from ..session import ship
+from ..storage import settle
 from .content import open_fs, stream_key
 
 LISTING = "root STRING, file_path STRING, file_size BIGINT, mtime TIMESTAMP_NTZ"
-SOURCE_NAME = "file_tree"
-MIN_FOLDERS = 256
+ENTRY = "path STRING, is_folder BOOLEAN, file_size BIGINT, mtime TIMESTAMP_NTZ"
+#: Entries of one folder handed on at a time, and folders listed per task at most.
+PAGE_ROWS, FOLDERS_PER_TASK = 10_000, 64
 TASKS_PER_CORE = 8
 
 
-@dataclass
-class Folder(InputPartition):
-    """A folder to list: all below it, or only the files directly in it."""
-
-    path: str
-    recursive: bool
-
-
-class FileTreeReader(DataSourceReader):
-    """Lists a tree in parallel.
-
-    The driver opens folders level by level only until there are enough of
-    them to share out; each task then walks its own. All files are listed,
-    names starting with a dot or underscore too.
+def _inside(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int | None, datetime | None]]:
+    """What lies directly in a folder. A mounted folder is read entry by entry, however many there are."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                path = f"{folder.rstrip('/')}/{entry.name}"
+                try:
+                    status = entry.stat()
+                except OSError:  # gone meanwhile, or a link to nothing
+                    continue
+                if stat.S_ISDIR(status.st_mode):
+                    if not entry.is_symlink():  # else a link to a folder above would never end
+                        yield (path, True, None, None)
+                elif stat.S_ISREG(status.st_mode):
+                    yield (path, False, status.st_size, _EPOCH + timedelta(microseconds=status.st_mtime_ns // 1000))
+        return
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if info.type == fs.FileType.Directory:
+            yield (info.path, True, None, None)
+        elif info.type == fs.FileType.File:
+            yield (info.path, False, info.size, info.mtime.replace(tzinfo=None) if info.mtime else None)
+
+
+_EPOCH = datetime(1970, 1, 1)
+_PAGE = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("file_size", pa.int64()), ("mtime", pa.timestamp("us"))])
+
+
+def _list_folders(root: str, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    system, _ = open_fs(root)
+    for batch in it:
+        for folder in batch.column("path").to_pylist():
+            try:
+                inside = _inside(system, folder)
+                while page := list(islice(inside, PAGE_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*page, strict=True), _PAGE, strict=True)], schema=_PAGE)
+            except (PermissionError, FileNotFoundError):  # a folder that cannot be read holds nothing
+                continue
+
+
+def list_directory(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file below ``root``: root, relative path, size, time. Reads no content.
+
+    A frontier search: each level of the tree is a Spark stage that lists the
+    folders found by the level before, so the driver opens none of them, and a
+    wide or lopsided tree spreads over all tasks. The entries of a folder come
+    in pages; each level is a table in the shared folder. All files are listed,
+    names starting with a dot or underscore too; folders that cannot be read
+    count as empty. Links to files are followed, links to folders are not.
     """
-
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
-        self.min_folders = int(options.get("minfolders", MIN_FOLDERS))
-
-    def partitions(self) -> list[InputPartition]:
-        system, root = open_fs(self.path)
-        if system.get_file_info(root).type != fs.FileType.Directory:
-            return []
-        level, opened = [root], []
-        while level and len(level) < self.min_folders:
-            below = []
-            for folder in level:
-                inside = system.get_file_info(fs.FileSelector(folder))
-                below += [i.path for i in inside if i.type == fs.FileType.Directory]
-            opened += level
-            level = below
-        return [Folder(p, False) for p in opened] + [Folder(p, True) for p in level]
-
-    def read(self, partition: Folder | None) -> Iterator[tuple]:
-        if partition is None:  # no such folder: nothing to share out
-            return
-        system, root = open_fs(self.path)
-        base = root.rstrip("/") + "/"
-        found = system.get_file_info(fs.FileSelector(partition.path, recursive=partition.recursive))
-        for info in found:
-            if info.type == fs.FileType.File:
-                mtime = info.mtime.replace(tzinfo=None) if info.mtime else None
-                yield (root, info.path.removeprefix(base), info.size, mtime)
-
-
-class FileTreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return SOURCE_NAME
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema) -> FileTreeReader:
-        return FileTreeReader(self.options)
-
-
-def list_directory(spark: SparkSession, root: str, min_folders: int = MIN_FOLDERS) -> DataFrame:
-    """One row per file below ``root``: root, relative path, size, time. Reads no content."""
     ship(spark)
-    spark.dataSource.register(FileTreeSource)
-    return spark.read.format(SOURCE_NAME).option("minFolders", min_folders).load(root)
+    system, base = open_fs(root)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        return spark.createDataFrame([], LISTING)
+    base = base.rstrip("/") or "/"
+    folders, found, n = spark.createDataFrame([(base,)], "path STRING"), None, 1
+    while n:
+        tasks = max(1, min(-(-n // FOLDERS_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+        spread = folders.repartition(tasks, "path") if n > 1 else folders
+        level = settle(spread.mapInArrow(partial(_list_folders, root), ENTRY), "level")
+        files = level.filter("NOT is_folder")
+        found = files if found is None else found.unionByName(files)
+        folders = level.filter("is_folder").select("path")
+        n = folders.count()
+    below = 1 if base == "/" else len(base) + 1
+    return found.select(F.lit(base).alias("root"), F.expr(f"substr(path, {below + 1})").alias("file_path"), "file_size", "mtime")
 
 
 def hash_files(files: DataFrame, strategy: str = "size_partial", partitions: int | None = None) -> DataFrame:

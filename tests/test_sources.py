@@ -2,7 +2,7 @@ import json
 import os
 import zipfile
 import zlib
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,16 +84,40 @@ def test_archive_content_and_keys(spark, exports, monkeypatch):
 
 
 def test_directory_scan(spark, library):
-    listed = di.list_directory(spark, library, min_folders=1)
+    listed = di.list_directory(spark, library)
     assert {r.file_path for r in listed.collect()} == {"2015/03/big.bin", "_DSC1.jpg", ".hidden", "s p/a.txt"}
-    deep = di.list_directory(spark, library)
-    assert sorted(map(tuple, deep.collect())) == sorted(map(tuple, listed.collect()))
     keys = {r.file_path: r.content_key for r in di.scan_directory(spark, library, "size_crc").collect()}
     assert keys["s p/a.txt"] == f"7_{zlib.crc32(b'picture'):08x}"
     gone = listed.withColumn("file_path", F.concat("file_path", F.lit("x")))
     assert di.hash_files(gone).count() == 0
 
 
+def test_listing_by_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(di, "PAGE_ROWS", 100)
+    flat, deep = tmp_path / "flat", tmp_path
+    flat.mkdir()
+    for i in range(2500):
+        (flat / f"f{i}").write_bytes(b"x" * (i % 3))
+    want = {f"flat/f{i}": i % 3 for i in range(2500)}
+    for i in range(6):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        (deep / "a b.txt").write_text("12345")
+        want[f"{deep.relative_to(tmp_path)}/a b.txt"] = 5
+    (deep / "empty").mkdir()
+    (deep / "up").symlink_to(tmp_path)
+    (tmp_path / "link").symlink_to(deep / "a b.txt")
+    (tmp_path / "lost").symlink_to(tmp_path / "nowhere")
+    want["link"] = 5
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = di.list_directory(spark, root).collect()
+        assert {r.file_path: r.file_size for r in got} == want and len(got) == len(want)
+        assert {r.root for r in got} == {str(tmp_path)}
+    stamp = os.stat(flat / "f7").st_mtime_ns // 1000
+    one = next(r for r in got if r.file_path == "flat/f7")
+    assert (one.mtime - datetime(1970, 1, 1)) // timedelta(microseconds=1) == stamp
+
+
 def test_manifest_round_trip(spark, tmp_path):
     data = [("k", 1, 2**32 - 1, datetime(2020, 1, 2, 3, 4, 5), "e/2020/01/a", "z", "a", 3), ("m", 1, 0, None, "", "z", "b", 0)]
     df = spark.createDataFrame(data, MANIFEST)
