@@ -213,6 +213,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _renamed(base: DataFrame) -> DataFrame | None:
+    """(doc_id, text, own_id): rows with an id for each, the first two columns as given; None where every id has one text.
+
+    Only ids that several different texts bear get new ids, below all others.
+    """
+    texts = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")
+    )
+    many = settle(texts.filter("lo <> hi").select("doc_id"), "repeated-ids")
+    if many.isEmpty():
+        return None
+    least = base.agg(F.min("doc_id")).first()[0]
+    rows = settle(base.join(many, "doc_id", "left_semi"), "repeated-rows")
+    # The table is written, so a row keeps its number.
+    numbered = settle(rows.withColumn("own_id", F.lit(least) - 1 - F.monotonically_increasing_id()), "renamed")
+    return base.join(many, "doc_id", "left_anti").withColumn("own_id", F.col("doc_id")).unionByName(numbered)
+
+
 def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -220,10 +238,27 @@ def near_duplicates(docs: DataFrame, shared: int = SHARED) -> DataFrame:
     link if ``100 * intersection >= shared * union`` of their distinct 5-word
     shingles; a text of fewer words is one shingle, one without words (null,
     empty) links with nothing and keeps itself. component_id is the smallest
-    doc_id reachable. doc_id is taken as unique: rows that repeat an id are
-    judged each by its own text. A null id links with nothing and is kept.
+    doc_id reachable. Rows that repeat an id are judged each by its own text,
+    and each counts for what links with it. A null id links with nothing and is
+    kept.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _renamed(base)
+    if rows is None:
+        return _near_duplicates(base, shared)
+    rows = settle(rows, "rows")
+    found = settle(_near_duplicates(rows.select(F.col("own_id").alias("doc_id"), "text"), shared), "found")
+    ids = rows.filter("own_id IS NOT NULL").select("own_id", F.col("doc_id").alias("_id")).distinct()
+    known = found.join(ids, F.col("doc_id") == F.col("own_id")).select("_id", "n_shingles", "component_id")
+    least = known.groupBy("component_id").agg(F.min("_id").alias("_least"))
+    out = attach(known, least, ["component_id"], ["_id"]).select(
+        F.col("_id").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"), (F.col("_id") == F.col("_least")).alias("kept")
+    )
+    return out.unionByName(found.filter("doc_id IS NULL"))
+
+
+def _near_duplicates(base: DataFrame, shared: int) -> DataFrame:
+    """The same for rows whose every id stands for one text."""
     sketched = settle(base.mapInArrow(partial(_sketch, bands(shared) * ROWS), "doc_id long, n long, key binary, regs binary"), "sketches")
     linked = sketched.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = linked.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))

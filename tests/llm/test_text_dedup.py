@@ -14,29 +14,39 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_near_duplicates_equal_brute_force(docs, corpus):
-    known = [(i, shingle_set(t)) for i, t, *_ in corpus if i is not None and i != 118]
-    least = {i: i for i, _ in known}
+def brute_components(rows, shared=85):
+    """Per row (id, size of its set, least id that its row reaches); rows of one id and text are one."""
+    known = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    root = list(range(len(known)))
 
     def find(x):
-        while least[x] != x:
-            x = least[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
     for p, (i, s) in enumerate(known):
         for j, u in known[:p]:
-            if s and u and 100 * len(s & u) >= 85 * len(s | u):
-                a, b = find(i), find(j)
-                least[max(a, b)] = min(a, b)
-    got = setsketch.near_duplicates(docs.filter("doc_id IS NULL OR doc_id <> 118")).collect()
-    assert len(got) == len(known) + 1
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert r.component_id == find(r.doc_id), r
-            assert r.kept == (r.doc_id == r.component_id)
-            assert r.n_shingles == len(dict(known)[r.doc_id])
+            q = known.index((j, u))
+            if (s and u and 100 * len(s & u) >= shared * len(s | u)) or (i, s) == (j, u):
+                root[find(p)] = find(q)
+    least = {}
+    for p, (i, _) in enumerate(known):
+        least[find(p)] = min(i, least.get(find(p), i))
+    return Counter((i, len(s), least[find(p)], i == least[find(p)]) for p, (i, s) in enumerate(known))
+
+
+def test_near_duplicates_equal_brute_force(docs, corpus):
+    want = brute_components([(i, t) for i, t, *_ in corpus])
+    got = setsketch.near_duplicates(docs).collect()
+    assert Counter(tuple(r) for r in got if r.doc_id is not None) == want
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (8, a + " x"), (9, b + " y"), (3, b + " z"), (6, None), (6, "one"), (7, "one"), (5, a)]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
 def test_cross_pairs_reach_what_leaders_miss(spark, docs, monkeypatch):
@@ -131,3 +141,24 @@ def test_empty_tables_and_clashing_columns(nothing, clashing, docs, run):
     assert run(nothing).count() == 0
     key = lambda df: Counter(map(repr, df.collect()))
     assert key(run(clashing)) == key(run(docs))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_strings_told_apart_by_their_bytes(monkeypatch, collide):
+    rng = np.random.default_rng(2)
+    side = [rng.integers(97, 100, 34, dtype=np.uint8).tobytes() for _ in range(3)]
+    anchors = [b"0123456789abcdef", b"the other anchor"]
+
+    def near(x):
+        return x if rng.random() < 0.5 else bytes([*x[:20], 97 + int(rng.integers(3)), *x[21:]])
+
+    texts = list(dict.fromkeys(near(side[rng.integers(3)]) + anchors[rng.integers(2)] + near(side[rng.integers(3)]) for _ in range(60)))
+    n = len(texts)
+    least, offset, windows = rng.permutation(n).astype(np.int64), np.full(n, 34), np.full(n, 35)
+    bound = np.repeat(least[:, None], 35, 1)
+    if collide:  # every left part has the same hash
+        monkeypatch.setattr(suffixes.Suffixes, "of", lambda self, at, size: np.zeros(len(at), np.int64))
+    suffixes._share(texts, offset, windows, least, bound)
+    for i in range(n):
+        for k in range(35):
+            assert bound[i, k] == min(least[j] for j in range(n) if texts[j][k : k + 50] == texts[i][k : k + 50])
