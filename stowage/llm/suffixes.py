@@ -162,9 +162,15 @@ def _share(texts: list[bytes], offset: np.ndarray, windows: np.ndarray, least: n
             p = pairs[part : part + 100_000]
             a, b = has[by[p]], has[head[p]]
             equal = (data[(s[a] - o)[:, None] + span] == data[(s[b] - o)[:, None] + span]).all(1)
-            if not equal.all():
-                raise ValueError("different strings of equal hashes: choose another factor")
+            a, b, apart = a[equal], b[equal], np.unique(head[p[~equal]])
             bound[segment[a], k[a]] = np.minimum(bound[segment[a], k[a]], ids[b])
+            for first in apart:
+                # Different strings of equal hashes: their group is told apart by its bytes.
+                mine = has[by[head == first]]
+                same = np.unique(data[(s[mine] - o)[:, None] + span], axis=0, return_inverse=True)[1].ravel()
+                least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, same, ids[mine])
+                bound[segment[mine], k[mine]] = np.minimum(bound[segment[mine], k[mine]], least[same])
 
 
 _OUT = pa.schema(
