@@ -24,6 +24,8 @@ from stowage.llm.common import batches, texts
 
 #: Words per seed, and the characters of items handled together.
 SEED, BLOCK_CHARS = 3, 8 << 20
+#: Items of so many words have seeds of two words as well: with a third of them changed, three may nowhere stand together.
+PAIRED = range(12, 25)
 #: Seeds occur in at most RARER times as many documents as the item's median n-gram, or in FEW.
 RARER, FEW = 4, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -38,6 +40,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def seeds(n: int) -> list[int]:
+    """Seed lengths of an item of ``n`` words."""
+    return [2, SEED] if n in PAIRED else [min(SEED, n)] if n else []
+
+
 @dataclass
 class Block:
     """Items of one block: word numbers, their word sequences, and n-gram keys with owners."""
@@ -58,8 +65,9 @@ class Block:
         block.items = [np.array([block.vocabulary[w] for w in s], np.int64) for s in sequences]
         found: dict[int, set[int]] = {}
         for i, s in enumerate(block.items):
-            for k in block.grams(s, min(SEED, len(s))).tolist() if len(s) else []:
-                found.setdefault(k, set()).add(i)
+            for width in seeds(len(s)):
+                for k in block.grams(s, width).tolist():
+                    found.setdefault(k, set()).add(i)
         block.keys = np.array(sorted(found), np.int64)
         block.owners = [sorted(found[k]) for k in block.keys.tolist()]
         return block
@@ -87,8 +95,8 @@ class Block:
         return at, i[at]
 
     def widths(self) -> list[int]:
-        """Seed lengths in use: shorter ones only for items of fewer words."""
-        return sorted({min(SEED, len(s)) for s in self.items if len(s)})
+        """Seed lengths in use; keys of different lengths differ."""
+        return sorted({k for s in self.items for k in seeds(len(s))})
 
     def number(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
@@ -134,10 +142,9 @@ def _aligned(box, least: float, it: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                 at, seed = block.hits(s, k, wanted)
                 for p, g in zip(at.tolist(), seed.tolist(), strict=True):
                     for i in block.owners[g]:
-                        if min(SEED, len(block.items[i])) == k:
-                            places.setdefault(i, []).append(p)
+                        places.setdefault(i, []).append(p)
             for i, at in places.items():
-                best = _best(block.items[i], s, sorted(at))
+                best = _best(block.items[i], s, sorted(at), least)
                 if best[0] >= least:
                     out.append((doc_id, block.ids[i], *best))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -147,22 +154,26 @@ def _aligned(box, least: float, it: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
-def _best(item: np.ndarray, s: np.ndarray, at: list[int]) -> tuple[float, int, int]:
-    """Best share of the full score over the regions around the seeds, with its words."""
-    reach, best = 2 * len(item), (0.0, 0, 0)
+def _best(item: np.ndarray, s: np.ndarray, at: list[int], least: float) -> tuple[float, int, int]:
+    """Best share of the full score over the regions around the seeds, with its words; regions that can't reach ``least`` count 0."""
+    n = len(item)
+    reach, best = 2 * n, (0.0, 0, 0)
     a = 0
     for b in range(1, len(at) + 1):
         if b < len(at) and at[b] - at[b - 1] <= reach:
             continue
-        # A region of few seeds for its item can't reach the score; a lone seed counts for short items alone.
-        if b - a > 1 or len(item) < 4 * SEED:
-            low, high = max(0, at[a] - reach), min(len(s), at[b - 1] + reach)
-            score, end = align(item, s[low:high])
-            share = score / (MATCH * len(item))
-            if share > best[0]:
-                back, start = align(item[::-1], s[low : low + end][::-1])
-                best = (share, low + end - start, low + end)
+        low, high = max(0, at[a] - reach), min(len(s), at[b - 1] + reach)
         a = b
+        # An alignment that reaches it spans at most so many words, of which at least least * n are words of the item.
+        span = int((3 - 2 * least) * n) + 1
+        shared = np.cumsum(np.isin(s[low:high], item))
+        if (shared[span:] - shared[:-span]).max(initial=shared[min(span, len(shared)) - 1]) < least * n:
+            continue
+        score, end = align(item, s[low:high])
+        share = score / (MATCH * n)
+        if share > best[0]:
+            back, start = align(item[::-1], s[low : low + end][::-1])
+            best = (share, low + end - start, low + end)
     return best
 
 
@@ -192,14 +203,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
         df = np.zeros(len(block.keys), np.int64)
         for r in sums.groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
             df[r["seed"]] = r["n"]
-        own: list[list[int]] = [[] for _ in block.items]
+        # Keys of two words are below the square of the vocabulary's size, those of three above it.
+        pair = block.keys < (len(block.vocabulary) + 1) ** 2
+        own: dict[tuple[int, bool], list[int]] = {}
         for g, owners in enumerate(block.owners):
             for i in owners:
-                own[i].append(g)
+                own.setdefault((i, bool(pair[g])), []).append(g)
         wanted = np.zeros(len(block.keys), bool)
-        for seeds in own:
-            if seeds:
-                wanted[[g for g in seeds if df[g] <= max(FEW, RARER * np.median(df[seeds]))]] = True
+        for mine in own.values():
+            wanted[[g for g in mine if df[g] <= max(FEW, RARER * np.median(df[mine]))]] = True
         box = spark.sparkContext.broadcast((block, wanted))
         found = found.union(base.mapInArrow(partial(_aligned, box, least), _OUT))
     return found

@@ -9,6 +9,7 @@ import urllib.parse
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from stowage.llm import decontaminate, langid, quality, rules, secrets
@@ -297,3 +298,29 @@ def test_empty_tables_and_clashing_columns(nothing, clashing, docs):
         assert run(nothing).count() == 0
         key = lambda df: Counter(map(repr, df.collect()))
         assert key(run(clashing)) == key(run(docs))
+
+
+def test_edited_copies_are_found(spark):
+    # Copies of items with 30 % of the words changed, dropped or doubled, among words that items use as well.
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(300)]
+    items = [(i, [rng.choice(common) for _ in range(n)]) for i, n in enumerate([12, 14, 16, 20, 25, 40] * 10)]
+    docs = []
+    for k in range(360):
+        i, item = items[k % 60]
+        out = []
+        for w in item:
+            x = rng.random()
+            out += [w] if x > 0.3 else [rng.choice(common)] if x > 0.1 else [] if x > 0.05 else [w, w]
+        docs.append((k, " ".join([*rng.choices(common, k=60), *out, *rng.choices(common, k=60)])))
+    number = {w: i + 1 for i, w in enumerate(common)}
+    want = set()
+    for k, t in docs:
+        s = np.array([number[w] for w in t.split()])
+        for i, item in items:
+            if decontaminate.align(np.array([number[w] for w in item]), s)[0] >= 0.5 * 2 * len(item):
+                want.add((k, i))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert got <= want and len(want) > 250 and len(got) >= 0.99 * len(want)
