@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import file_name, parent_dir
 from ..functions.paths import exact_suffix, file_stem
 from ..sources.archives import TASKS_PER_CORE
+from ..sources.extraction import by_bytes
 from ..storage import names_in, settle
 from .numbering import served
 from .prefix import SUM, running, sliced
@@ -212,8 +213,8 @@ def write_library(
     is there; a folder that holds anything but runs is refused. Each file's
     SHA-256 is kept beside it, so later runs know it without reading content.
 
-    The plan (metadata only) is range-partitioned by month and archive first;
-    content is then read in the task that writes it, so bytes are never
+    The plan (metadata only) is cut by month and archive into ranges of about
+    equal bytes first; content is then read in the task that writes it, so bytes are never
     shuffled, a month of any size spans many tasks, and each task opens few
     files. Returns the outcome per archive (see :func:`write_summary`).
 
@@ -230,7 +231,8 @@ def write_library(
     ranges = [F.col("year"), F.col("month"), *[F.col(c) for c in order_cols]]
     # An explicit number: adaptive execution would merge partitions by their few metadata bytes.
     parts = partitions or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    laid = dated.repartitionByRange(parts, *ranges)
+    # Content given with the rows stays where it is; content still to be read is dealt out by its bytes.
+    laid = dated.repartitionByRange(parts, *ranges) if read_content is None else by_bytes(dated, ["year", "month", *order_cols], parts)
     filled = read_content(laid) if read_content is not None else laid
     error = F.coalesce(F.col("error"), F.when(F.col("content").isNull(), F.lit("unreadable member")))
     content = F.when(F.col("error").isNull(), F.col("content"))

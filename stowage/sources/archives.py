@@ -102,6 +102,25 @@ def _spread(wanted: DataFrame, partitions: int | None) -> DataFrame:
     return wanted.repartition(parts, F.col("archive"), run).sortWithinPartitions("archive", "entry_ix")
 
 
+def opened_member(stack: ExitStack) -> Callable[[str, int], Any]:
+    """Function that opens a member as a stream; the archive stays open for the next member of it."""
+    current: dict[str, Any] = {"archive": None}
+
+    def open_member(archive: str, position: int) -> Any:
+        if archive != current["archive"]:
+            stack.close()
+            current.update(archive=None)
+            system, path = open_fs(archive)
+            raw = stack.enter_context(system.open_input_file(path))
+            opened = stack.enter_context(zipfile.ZipFile(raw))
+            current.update(archive=archive, opened=opened, members=opened.infolist())
+        if position >= len(current["members"]):
+            raise LookupError(f"no member {position}")
+        return current["opened"].open(current["members"][position])
+
+    return open_member
+
+
 def _per_member(read: Callable[[zipfile.ZipFile, zipfile.ZipInfo], Any], column: str):
     """Batch function that adds ``read(archive, member)``, NULL where that fails."""
 

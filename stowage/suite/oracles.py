@@ -613,6 +613,15 @@ SELECT archive, entry_ix, file_path, file_size, CAST(zip_y AS INTEGER) AS zip_y,
        CAST(zip_d AS INTEGER) AS zip_d FROM zips
 """)
 oracle("archive_content", "zips", "SELECT archive, entry_ix, content_hash FROM zips")
+oracle("archive_blocks", "zips", """
+SELECT archive, entry_ix, greatest(1, CAST(ceil(file_size / 1000.0) AS BIGINT)) AS blocks, file_size AS bytes, content_hash FROM zips
+""")
+oracle("extract_files", "zips", """
+SELECT archive, count(*) + 1 AS total_files, count(*) AS extracted, 1 AS errors, CAST(sum(file_size) AS BIGINT) AS bytes_extracted,
+       'lost.jpg: unreadable member: no member ' || count(*) AS first_errors
+FROM zips GROUP BY 1
+""")
+oracle("extracted_content", "zips", "SELECT archive, content_key, count(*) AS files FROM zips GROUP BY ALL")
 oracle("archive_keys", "zips", "SELECT archive, entry_ix, content_key FROM zips")
 oracle("directory_scan", "dir", "SELECT file_path, file_size, content_key FROM dir")
 oracle("directory_hash_selected", "dir hcache", """

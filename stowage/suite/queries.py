@@ -21,6 +21,7 @@ from ..plans.analyze import analyze
 from ..session import ship
 from ..sources import archives as ar
 from ..sources import directories as di
+from ..sources import extraction as ex
 from ..sources import manifests as mf
 from ..storage import scratch_path, settle
 from ..streaming.ingest import ingest_stream, read_ingested
@@ -683,6 +684,48 @@ def archive_content(spark, sf):
     )
 
 
+@query
+def archive_blocks(spark, sf):
+    # Small blocks, so that most members have several.
+    blocks = ex.read_entry_blocks(ar.read_archives(spark, _archived(spark, sf)), block_bytes=1000)
+    return blocks.groupBy(fx.file_name("archive").alias("archive"), "entry_ix").agg(
+        F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes"),
+        F.max(F.when(F.col("is_last"), F.col("sha256"))).alias("content_hash"),
+    )
+
+
+def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Every archive's members and one more that it lacks, extracted to files."""
+    entries = ar.read_archives(spark, _archived(spark, sf)).select("archive", "entry_ix", "file_path", "file_size")
+    missing = entries.groupBy("archive").agg(F.max("entry_ix").alias("ix")).select(
+        "archive", (F.col("ix") + 1).alias("entry_ix"), F.lit("lost.jpg").alias("file_path"), F.lit(0).cast("bigint").alias("file_size")
+    )
+    name = F.concat(F.col("entry_ix").cast("string"), F.lit("_"), fx.file_name("file_path"))
+    wanted = entries.unionByName(missing).withColumn(
+        "destination", F.concat(F.lit("out/"), fx.file_name("archive"), F.lit("/"), name)
+    )
+    root = scratch_path(spark, "files")
+    return ex.extract_files(wanted.withColumn("error", F.lit(None).cast("string")), root), root
+
+
+@query
+def extract_files(spark, sf):
+    written, _ = _extracted(spark, sf)
+    summary = lib.write_summary(written)
+    return summary.select(
+        fx.file_name("archive").alias("archive"), "total_files", "extracted", "errors", "bytes_extracted",
+        F.concat_ws("; ", "first_errors").alias("first_errors"),
+    )
+
+
+@query
+def extracted_content(spark, sf):
+    _, root = _extracted(spark, sf)
+    return di.scan_directory(spark, root, "full").groupBy(
+        F.element_at(F.split("file_path", "/"), 2).alias("archive"), "content_key"
+    ).agg(F.count("*").alias("files"))
+
+
 @query
 def archive_keys(spark, sf):
     entries = ar.read_archives(spark, _archived(spark, sf))

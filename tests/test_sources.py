@@ -1,9 +1,13 @@
+import hashlib
 import json
 import os
+import tracemalloc
 import zipfile
 import zlib
 from datetime import datetime, timedelta
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from stowage.plans import commands
 from stowage.operators.state import CatalogState
 from stowage.sources import archives as ar
 from stowage.sources import directories as di
+from stowage.sources import extraction as ex
 from stowage.sources import manifests as mf
 from stowage.schemas import MANIFEST
 
@@ -176,3 +181,71 @@ def test_csv_and_report_sinks(spark, exports, tmp_path):
     assert {r[0] for r in back.filter("`Is Duplicate` = 'Yes'").select("Duplicate Of").collect()} == {"a.zip:p/x.jpg"}
     mf.write_report({"types": tables["type_breakdown"]}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "types")).count() == tables["type_breakdown"].count()
+
+
+def test_blocks_of_members(spark, exports):
+    entries = ar.read_archives(spark, exports)
+    blocks = ex.read_entry_blocks(entries, block_bytes=1000).collect()
+    parts = {}
+    for r in sorted(blocks, key=lambda r: (r.archive, r.entry_ix, r.block)):
+        parts.setdefault((r.archive, r.entry_ix), []).append(r)
+    content = {(r.archive, r.entry_ix): bytes(r.content) for r in ar.read_entry_content(entries).collect()}
+    assert parts.keys() == content.keys()
+    for member, rows in parts.items():
+        data = b"".join(bytes(r.data) for r in rows)
+        assert data == content[member] and [r.block for r in rows] == list(range(len(rows)))
+        assert [r.is_last for r in rows] == [False] * (len(rows) - 1) + [True]
+        assert (rows[-1].sha256, rows[-1].crc, rows[-1].bytes) == (hashlib.sha256(data).hexdigest(), zlib.crc32(data), len(data))
+        for k, r in enumerate(rows):
+            assert r.crc == zlib.crc32(data[: 1000 * (k + 1)])
+
+
+def test_a_large_member_is_streamed(tmp_path):
+    # 300 MB, read and written by one task; what it holds is traced.
+    path, block = str(tmp_path / "big.zip"), bytes(1 << 20)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open(zipfile.ZipInfo("big.bin"), "w", force_zip64=True) as out:
+        for _ in range(300):
+            out.write(block)
+    pdf = pd.DataFrame({"archive": [path], "entry_ix": [0], "error": [None]})
+    tracemalloc.start()
+    row = next(ex._stage(str(tmp_path / "staging"), 1 << 20, iter([pdf]))).iloc[0]
+    wanted = pa.RecordBatch.from_pydict({"archive": [path], "entry_ix": [0]})
+    last = None
+    for batch in ex._read_blocks(1 << 20, iter([wanted])):
+        last = batch.to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["bytes"] == last["bytes"] == 300 << 20 and row["sha256"] == last["sha256"] and peak < 32 << 20
+
+
+def test_extraction_in_two_phases(spark, exports, tmp_path):
+    root = str(tmp_path / "files")
+    entries = ar.read_archives(spark, exports).withColumn("destination", F.concat(F.lit("o/"), "entry_ix", F.lit("/"), F.substring_index("archive", "/", -1)))
+    planned = entries.select("archive", "entry_ix", "file_path", "file_size", "destination", F.when(F.col("entry_ix") == 2, "no room").alias("error"))
+    planned = planned.unionByName(planned.limit(1).withColumn("entry_ix", F.lit(99).cast("bigint")).withColumn("error", F.lit(None).cast("string")).withColumn("destination", F.lit("o/x")))
+    got = {(os.path.basename(r.archive), r.entry_ix): r for r in ex.extract_files(planned, root).collect()}
+    content = {(os.path.basename(r.archive), r.entry_ix): bytes(r.content) for r in ar.read_entry_content(entries).collect()}
+    for member, r in got.items():
+        if member[1] == 2:
+            assert r.error == "no room" and r.sha256 is None
+        elif member[1] == 99:
+            assert r.error.startswith("unreadable member")
+        else:
+            assert r.error is None and r.sha256 == hashlib.sha256(content[member]).hexdigest() and r.bytes == len(content[member])
+            with open(f"{root}/{r.destination}", "rb") as f:
+                assert f.read() == content[member]
+    assert sorted(os.listdir(root)) == ["o"]  # the staging folder is gone
+    again = ex.extract_files(planned, root).collect()
+    assert {r.error for r in again if r.entry_ix not in (2, 99)} == {"destination exists"}
+    # A task that is run again finds its files moved, and says so without error.
+    pdf = pd.DataFrame({"staged": [f"{root}/.gone"], "destination": [next(r.destination for r in got.values() if r.error is None)]})
+    assert next(ex._move(root, iter([pdf])))["error"].tolist() == [None]
+
+
+def test_tasks_of_about_equal_bytes(spark):
+    rows = spark.range(2000).selectExpr("'z' AS archive", "id AS entry_ix", "IF(id < 100, 100000, 10) AS file_size").repartition(5)
+    tasks = {}
+    for r in ex.by_bytes(rows, ["archive", "entry_ix"], 8).withColumn("task", F.spark_partition_id()).collect():
+        tasks[r.task] = tasks.get(r.task, 0) + r.file_size
+    sizes = list(tasks.values())
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
