@@ -1,14 +1,12 @@
-"""Cached state as Parquet snapshots: lookups, upserts, refresh."""
+"""Cached state: lookups, upserts, refresh."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..schemas import DATE_CACHE, HASH_CACHE, SCAN_LOG
+from .logtable import LogTable
 
 # Fixed value: a file is unchanged when its size is equal and its time within a second.
 MTIME_TOLERANCE = "INTERVAL '1' SECOND"
@@ -33,67 +31,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], latest: str | None =
     return kept.unionByName(fresh)
 
 
-class Snapshot:
-    """A table kept as immutable Parquet versions below ``path``.
-
-    Every change writes a new version, and then one row to the log that names
-    it; readers take the last version logged. A job that dies before the log
-    row leaves the current version as it was, and no version is overwritten
-    while it is being read.
-    """
-
-    LOG = "number BIGINT, version STRING"
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
-
-    def _current(self) -> tuple[int, str | None]:
-        try:
-            log = self.spark.read.schema(self.LOG).json(f"{self.path}/log")
-            last = log.agg(F.max(F.struct("number", "version")).alias("last")).select("last.*").first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0, None
-            raise
-        return (last["number"] or 0, last["version"])
-
-    def read(self) -> DataFrame:
-        version = self._current()[1]
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def replace(self, df: DataFrame) -> None:
-        number = self._current()[0] + 1
-        version = f"v{number}-{uuid.uuid4().hex}"
-        df.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/{version}")
-        row = self.spark.createDataFrame([(number, version)], self.LOG)
-        row.coalesce(1).write.mode("append").json(f"{self.path}/log")
-
-    def upsert(self, new: DataFrame) -> None:
-        latest = "created_at" if "created_at" in self.schema.fieldNames() else None
-        self.replace(upsert(self.read(), new, self.keys, latest))
-
-    def delete(self, gone: DataFrame) -> None:
-        """Drop the rows whose keys are in ``gone``."""
-        keys = [k for k in self.keys if k in gone.columns]
-        self.replace(self.read().join(gone.select(*keys).distinct(), keys, "left_anti"))
-
-    def clear(self) -> None:
-        self.replace(self.spark.createDataFrame([], self.schema))
-
-    def count(self) -> int:
-        return self.read().count()
-
-
 class CatalogState:
-    """The three snapshots a catalog keeps between runs."""
+    """The three tables a catalog keeps between runs."""
 
     def __init__(self, spark: SparkSession, path: str):
         base = path.rstrip("/")
-        self.dates = Snapshot(spark, f"{base}/date_cache", DATE_CACHE, DATE_KEYS)
-        self.hashes = Snapshot(spark, f"{base}/hash_cache", HASH_CACHE, HASH_KEYS)
-        self.scans = Snapshot(spark, f"{base}/scan_log", SCAN_LOG, SCAN_KEYS)
+        self.dates = LogTable(spark, f"{base}/date_cache", DATE_CACHE, DATE_KEYS)
+        self.hashes = LogTable(spark, f"{base}/hash_cache", HASH_CACHE, HASH_KEYS)
+        self.scans = LogTable(spark, f"{base}/scan_log", SCAN_LOG, SCAN_KEYS)
 
     def clear(self) -> None:
         """Empty all three together, so that no scan is believed without its keys."""

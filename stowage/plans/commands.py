@@ -33,7 +33,7 @@ from ..operators.planning import (
 from ..operators.reconcile import missing_sources, pending_by_year, reconcile_summary
 from ..operators.reconcile import reconcile as reconcile_rows
 from ..operators.report import build_report
-from ..operators.state import CatalogState, fresh_directories, keys_by_size, refresh_hashes
+from ..operators.state import HASH_KEYS, CatalogState, fresh_directories, keys_by_size, refresh_hashes
 from ..sources.archives import list_archives, read_archives, read_entry_content, read_entry_keys, read_sidecars
 from ..sources.directories import hash_files, list_directory, scan_directory
 from ..sources.manifests import manifest, write_diff_manifest, write_manifest
@@ -87,18 +87,21 @@ def library_index(
     listing = settle(list_directory(spark, output_dir), "listing")
     if state is None:
         return hash_files(listing, strategy)
-    cached = state.hashes.read()
+    base = state.hashes.version()
+    cached = state.hashes.read(base)
     cache = cached.filter(_strategy_of() == strategy)
     roots = listing.select("root").distinct()
     # One row per directory scanned, hence one row here.
     fresh = not fresh_directories(listing, state.scans.read()).filter("is_fresh").isEmpty()
-    others = cached.join(roots, "root", "left_anti")
     whole = cached.join(roots, "root", "left_semi").filter(_strategy_of() != strategy).isEmpty()
     if fresh and whole:
         return cache.join(roots, "root", "left_semi").select(*listing.columns, "content_key")
     files = settle(refresh_hashes(listing, cache, lambda df: hash_files(df, strategy)), "library")
     created = F.lit(started).cast("timestamp_ntz")
-    state.hashes.replace(others.unionByName(files.drop("reused").withColumn("created_at", created)))
+    # Only what changed is written; another writer's commit since the read raises and loses nothing.
+    state.hashes.upsert(files.filter("NOT reused").drop("reused").withColumn("created_at", created), base)
+    gone = cached.join(roots, "root", "left_semi").join(files, HASH_KEYS, "left_anti").select(*HASH_KEYS)
+    state.hashes.delete(gone)
     state.scans.upsert(
         files.groupBy("root").agg(created.alias("last_scanned"), F.count("*").alias("file_count"))
     )

@@ -43,14 +43,15 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path."""
     inner = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return inner.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), inner
 
 
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names directly in a folder; empty if there is no such folder."""
-    system, inner = _hadoop_path(spark, path)
+    system, inner = hadoop_path(spark, path)
     return [s.getPath().getName() for s in system.listStatus(inner)] if system.exists(inner) else []
 
 
@@ -58,6 +59,6 @@ def release(spark: SparkSession) -> None:
     """Delete the scratch tables of this application; tables that read them are void afterwards."""
     context = spark.sparkContext
     for path in getattr(context, "_stowage_scratch", []):
-        system, inner = _hadoop_path(spark, path)
+        system, inner = hadoop_path(spark, path)
         system.delete(inner, True)
     context._stowage_scratch = []

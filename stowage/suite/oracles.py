@@ -317,6 +317,18 @@ FROM (SELECT lang AS root, count(*) AS files, max(mtime) AS newest FROM dir GROU
 JOIN (SELECT lang AS root, count(*) AS file_count FROM documents GROUP BY 1) USING (root)
 """)
 oracle("keys_by_size", "dir", "SELECT DISTINCT file_size, content_key FROM dir")
+oracle("cache_delete", "hcache dir", """
+SELECT root, file_path, file_size, 'new_' || content_key AS content_key FROM hcache WHERE file_size % 2 = 0
+UNION ALL
+SELECT h.root, h.file_path, h.file_size, h.content_key FROM hcache h JOIN dir d USING (root, file_path)
+WHERE h.file_size % 2 <> 0 AND h.file_size = d.file_size
+""")
+oracle("cache_clear", "hcache dcache", """
+SELECT 'en cleared: dates' AS step, (SELECT count(*) FROM (SELECT DISTINCT archive, file_path FROM dcache)) AS rows
+UNION ALL SELECT 'en cleared: hashes', (SELECT count(*) FROM hcache WHERE root <> 'en')
+UNION ALL SELECT 'en cleared: scans', (SELECT count(DISTINCT lang) FROM documents WHERE lang <> 'en')
+UNION ALL SELECT 'all cleared: ' || t, 0 FROM (VALUES ('dates'), ('hashes'), ('scans')) v(t)
+""")
 oracle("incremental_ingest", "docx", "SELECT DISTINCT content_key, file_size FROM docx")
 
 # Reports ------------------------------------------------------------------
@@ -622,6 +634,11 @@ SELECT archive, count(*) + 1 AS total_files, count(*) AS extracted, 1 AS errors,
 FROM zips GROUP BY 1
 """)
 oracle("extracted_content", "zips", "SELECT archive, content_key, count(*) AS files FROM zips GROUP BY ALL")
+oracle("crc_key_content", "zips", "SELECT archive, entry_ix, true AS same, file_size AS bytes FROM zips")
+oracle("import_new", "zips dir", """
+SELECT archive, count(*) AS total_files, count(*) AS extracted, 0::BIGINT AS errors, CAST(sum(file_size) AS BIGINT) AS bytes_extracted
+FROM zips WHERE content_key NOT IN (SELECT content_key FROM dir) GROUP BY 1
+""")
 oracle("archive_keys", "zips", "SELECT archive, entry_ix, content_key FROM zips")
 oracle("directory_scan", "dir", "SELECT file_path, file_size, content_key FROM dir")
 oracle("directory_hash_selected", "dir hcache", """

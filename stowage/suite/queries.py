@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,12 @@ from ..operators import planning as pl
 from ..operators import reconcile as rc
 from ..operators import report as rp
 from ..operators import state as st
+from ..plans import commands
 from ..plans.analyze import analyze
 from ..session import ship
 from ..sources import archives as ar
 from ..sources import directories as di
-from ..sources import extraction as ex
+from ..sources import extraction as xt
 from ..sources import manifests as mf
 from ..storage import scratch_path, settle
 from ..streaming.ingest import ingest_stream, read_ingested
@@ -296,6 +298,39 @@ def keys_by_size(spark, sf):
     return st.keys_by_size(v.library_files(spark, sf))
 
 
+def _hash_state(spark: SparkSession, sf: str) -> st.CatalogState:
+    """State that holds the cached hashes, one scan per folder and the cached dates."""
+    state = st.CatalogState(spark, scratch_path(spark, "state"))
+    state.hashes.upsert(v.hash_cache(spark, sf))
+    return state
+
+
+@query
+def cache_delete(spark, sf):
+    # Two deltas on top of each other: the toxic documents' files go, then the labelled good ones get new keys.
+    state = _hash_state(spark, sf)
+    cached = settle(state.hashes.read(), "cached")
+    listed = v.library_files(spark, sf).select("root", "file_path", F.col("file_size").alias("listed"))
+    toxic = cached.join(listed, st.HASH_KEYS).filter("file_size <> listed").select(*st.HASH_KEYS)
+    state.hashes.delete(toxic)
+    even = cached.filter("file_size % 2 = 0").withColumn("content_key", F.concat(F.lit("new_"), "content_key"))
+    state.hashes.upsert(even)
+    return state.hashes.read().select("root", "file_path", "file_size", "content_key")
+
+
+@query
+def cache_clear(spark, sf):
+    state = _hash_state(spark, sf)
+    state.dates.upsert(v.date_cache(spark, sf))
+    state.scans.upsert(v.scan_log(spark, sf))
+    state.clear_directory("en")
+    tables = (("dates", state.dates), ("hashes", state.hashes), ("scans", state.scans))
+    one = [table.read().agg(F.count("*").alias("rows")).select(F.lit(f"en cleared: {name}").alias("step"), "rows") for name, table in tables]
+    state.clear()
+    all_ = [table.read().agg(F.count("*").alias("rows")).select(F.lit(f"all cleared: {name}").alias("step"), "rows") for name, table in tables]
+    return reduce(DataFrame.unionByName, [*one, *all_])
+
+
 @query
 def incremental_ingest(spark, sf):
     entries = _docs2(spark, sf).drop("content")
@@ -687,7 +722,7 @@ def archive_content(spark, sf):
 @query
 def archive_blocks(spark, sf):
     # Small blocks, so that most members have several.
-    blocks = ex.read_entry_blocks(ar.read_archives(spark, _archived(spark, sf)), block_bytes=1000)
+    blocks = xt.read_entry_blocks(ar.read_archives(spark, _archived(spark, sf)), block_bytes=1000)
     return blocks.groupBy(fx.file_name("archive").alias("archive"), "entry_ix").agg(
         F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes"),
         F.max(F.when(F.col("is_last"), F.col("sha256"))).alias("content_hash"),
@@ -705,7 +740,7 @@ def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
         "destination", F.concat(F.lit("out/"), fx.file_name("archive"), F.lit("/"), name)
     )
     root = scratch_path(spark, "files")
-    return ex.extract_files(wanted.withColumn("error", F.lit(None).cast("string")), root), root
+    return xt.extract_files(wanted.withColumn("error", F.lit(None).cast("string")), root), root
 
 
 @query
@@ -726,6 +761,27 @@ def extracted_content(spark, sf):
     ).agg(F.count("*").alias("files"))
 
 
+@query
+def crc_key_content(spark, sf):
+    # The key made from the bytes that come back from an archive, beside that of the archive's own checksum.
+    entries = ar.read_archives(spark, _archived(spark, sf), with_content=True)
+    return entries.select(
+        fx.file_name("archive").alias("archive"), "entry_ix", (fx.crc_key() == fx.metadata_key()).alias("same"),
+        F.regexp_extract(fx.crc_key(), "^(.*)_[0-9a-f]{8}$", 1).cast("bigint").alias("bytes"),
+    )
+
+
+@query
+def import_new(spark, sf):
+    tree = scratch_path(spark, "tree")
+    export_files(v.library_files(spark, sf), tree)
+    left = settle(ar.read_entry_keys(ar.read_archives(spark, _archived(spark, sf)), "full"), "left")
+    right = di.scan_directory(spark, tree, "full")
+    new = settle(cmp.only_left(left, right, MEMBER), "new")
+    done = commands.import_new(spark, new, "out", scratch_path(spark, "imported"))
+    return done.select(fx.file_name("archive").alias("archive"), "total_files", "extracted", "errors", "bytes_extracted")
+
+
 @query
 def archive_keys(spark, sf):
     entries = ar.read_archives(spark, _archived(spark, sf))

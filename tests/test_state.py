@@ -1,9 +1,12 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from stowage.operators import state as st
 from stowage.operators.dedup import dedup, originals
+from stowage.operators.logtable import ConcurrentUpdate, LogTable, create_if_absent
+from stowage.schemas import HASH_CACHE
 from stowage.streaming.ingest import ingest_batch, ingest_stream, read_ingested
 
 import pytest
@@ -38,6 +41,28 @@ def test_snapshots(spark, rows, tmp_path):
     assert (state.dates.count(), state.hashes.count(), state.scans.count()) == (0, 0, 0)
 
 
+def test_two_writers_and_compaction(spark, rows, tmp_path, monkeypatch):
+    def row(name, key):
+        return rows([("r", name, 1, T0, key, T0)], CACHE)
+
+    table = LogTable(spark, str(tmp_path / "t"), HASH_CACHE, st.HASH_KEYS)
+    table.upsert(row("a", "k"))
+    base, before = table.version(), table.read()
+    table.upsert(row("b", "first"), base)
+    for late in (lambda: table.upsert(row("b", "second"), base), lambda: table.replace(row("c", "x"), base), lambda: table.delete(row("a", ""), base)):
+        with pytest.raises(ConcurrentUpdate):
+            late()
+    assert {r.file_path: r.content_key for r in table.read().collect()} == {"a": "k", "b": "first"}
+    assert [r.file_path for r in before.collect()] == ["a"] and table.version() == 2
+    assert {r.file_path for r in table.read(1).collect()} == {"a"}
+    assert {r.file_path for r in table.read(like=row("b", "")).filter("file_path = 'b'").collect()} == {"b"}
+    monkeypatch.setattr("stowage.operators.logtable.MOST_DELTAS", 2)
+    table.delete(row("b", ""))
+    assert table._live()[0][1] == "full" and [r.file_path for r in table.read().collect()] == ["a"]
+    assert not create_if_absent(spark, str(tmp_path / "t" / "commits" / "000000000001.json"), "x")
+    assert sorted(os.listdir(tmp_path / "t" / "commits"))[-1].endswith("4.json")
+
+
 def test_directory_freshness(rows):
     listing = rows([("a", "x", 1, T0), ("a", "y", 1, T0), ("b", "x", 1, T0), ("c", "x", 1, T0), ("d", "x", 1, T0)], LISTING)
     later = T0 + timedelta(1)
