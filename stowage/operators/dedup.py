@@ -12,13 +12,15 @@ ORDER = ("archive", "entry_ix")
 MODES = ("two_stage", "content_only")
 
 
-def _with_key(entries: DataFrame) -> DataFrame:
+def with_key(entries: DataFrame) -> DataFrame:
+    """The entries with ``content_key``, from metadata where they have none."""
     if "content_key" in entries.columns:
         return entries
     return entries.withColumn("content_key", metadata_key())
 
 
-def _name_key() -> Column:
+def name_key() -> Column:
+    """The normalized name of ``file_path``."""
     # Never NULL, so that joins on it need no not-null filter, which would evaluate it twice.
     return F.coalesce(normalized_name("file_path"), F.lit(""))
 
@@ -30,7 +32,7 @@ def name_groups(entries: DataFrame, order_cols=ORDER) -> DataFrame:
     """
     return (
         entries.select(
-            "file_size", _name_key().alias("norm_name"), F.struct(*order_cols).alias("_ord")
+            "file_size", name_key().alias("norm_name"), F.struct(*order_cols).alias("_ord")
         )
         .groupBy("file_size", "norm_name")
         .agg(F.count("*").alias("_n"), F.min("_ord").alias("_group_first"))
@@ -39,7 +41,7 @@ def name_groups(entries: DataFrame, order_cols=ORDER) -> DataFrame:
 
 
 def _stage_one(entries: DataFrame, order_cols, hot_rows: int | None) -> DataFrame:
-    named = entries.withColumn("norm_name", _name_key())
+    named = entries.withColumn("norm_name", name_key())
     return attach(
         named, name_groups(entries, order_cols), ["file_size", "norm_name"], list(order_cols), "_n", hot_rows
     )
@@ -74,7 +76,7 @@ def dedup(
     if mode not in MODES:
         raise ValueError(f"unknown dedup mode {mode!r}")
     order_cols = list(order_cols)
-    keyed = _with_key(entries)
+    keyed = with_key(entries)
     place = F.struct(*order_cols).alias("place")
     if mode == "two_stage":
         staged = _stage_one(keyed, order_cols, hot_rows)

@@ -65,12 +65,15 @@ def create_if_absent(spark: SparkSession, path: str, content: str) -> bool:
 
 
 class LogTable:
-    """A table of rows unique by ``keys`` below ``path``."""
+    """A table of rows unique by ``keys`` below ``path``, in buckets of ``bucket_by`` (by default the keys)."""
 
     COMMIT = "number BIGINT, kind STRING, data STRING"
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, keys: list[str], bucket_by: list[str] | None = None
+    ):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
+        self.bucket_by = list(bucket_by or keys)
         fields = StructType([*schema.fields]).add("_deleted", BooleanType()).add("_commit", LongType())
         self._stored, self._bucketed = fields, StructType([*fields.fields]).add("_bucket", IntegerType())
 
@@ -89,13 +92,14 @@ class LogTable:
         return [tuple(r) for r in log.filter(F.col("number") >= full).orderBy("number").collect()]
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(BUCKETS)).cast("int")
 
     def read(self, version: int | None = None, like: DataFrame | None = None) -> DataFrame:
         """The rows, as of a commit if one is named.
 
-        ``like`` has key columns; only the buckets its keys fall into are read
-        (their numbers, at most ``BUCKETS``, are looked up first).
+        ``like`` has the columns the table is bucketed by; only the buckets its
+        rows fall into are read (their numbers, at most ``BUCKETS``, are looked
+        up first).
         """
         live = self._live(version)
         if not live:
@@ -139,7 +143,7 @@ class LogTable:
         base = self.version() if base is None else base
         keys = [k for k in self.keys if k in gone.columns]
         whole = gone.select(*keys).distinct()
-        there = self.read(base, whole if keys == self.keys else None)
+        there = self.read(base, whole if set(self.bucket_by) <= set(keys) else None)
         dropped = there.join(whole, keys, "left_semi").withColumn("_deleted", F.lit(True))
         self._commit(dropped, "delta", base)
         self._tidy(base + 1)

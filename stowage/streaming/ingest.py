@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructType
 
 from ..functions import metadata_key
+from ..operators.dedup import MODES
+from .two_stage import two_stage_batch
 
 
 def first_per_key(entries: DataFrame, order_cols) -> DataFrame:
@@ -59,14 +61,22 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start ingesting landed entry files; stops when everything present is taken in.
 
-    The earlier batch keeps a key. Only ``content_only`` is accepted: under the
-    two-stage rule a later name-mate can change the verdict on a stored row.
+    ``content_only``: the earlier batch keeps a key, and only first members are
+    stored (:func:`read_ingested`). ``two_stage``: all members are stored, and
+    verdicts change as name-mates arrive (:mod:`.two_stage`).
     """
-    if mode != "content_only":
-        raise ValueError("a stream can only deduplicate by content")
+    if mode not in MODES:
+        raise ValueError(f"unknown dedup mode {mode!r}")
+
+    def take_in(df: DataFrame, n: int) -> None:
+        if mode == "two_stage":
+            two_stage_batch(df, n, path)
+        else:
+            ingest_batch(df, n, path, order_cols)
+
     landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     return (
-        landed.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, path, order_cols))
+        landed.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

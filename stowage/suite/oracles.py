@@ -272,6 +272,7 @@ oracle("export_times", "exp", "SELECT * FROM exp WHERE export_time IS NOT NULL")
 DED = "is_duplicate, group_size, original_archive, original_path"
 oracle("dedup_entries", "lded", f"SELECT {LINE_ORDER}, {DED} FROM lded")
 oracle("dedup_documents", "ded", f"SELECT {DOC}, {DED} FROM ded")
+oracle("incremental_two_stage", "ded", f"SELECT {DOC}, {DED} FROM ded")
 oracle("dedup_content_only", "dedc", f"SELECT {DOC}, {DED} FROM dedc")
 oracle("dedup_candidates", "lded", f"SELECT {LINE_ORDER}, n > 1 AS is_candidate FROM lded")
 oracle("dup_groups", "ded", f"SELECT {DOC}, content_key, group_size FROM ded WHERE group_size > 1")

@@ -27,6 +27,7 @@ from ..sources import extraction as xt
 from ..sources import manifests as mf
 from ..storage import scratch_path, settle
 from ..streaming.ingest import ingest_stream, read_ingested
+from ..streaming.two_stage import read_two_stage
 from . import views as v
 from .exports import export_archives, export_files
 
@@ -343,6 +344,19 @@ def incremental_ingest(spark, sf):
     return read_ingested(spark, path, entries.schema).select("content_key", "file_size")
 
 
+@query
+def incremental_two_stage(spark, sf):
+    entries = _docs(spark, sf).drop("content")
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
+    # Spread by position, so that name-mates and equal contents arrive in different batches.
+    entries.repartition(3, "entry_ix").write.parquet(landing)
+    stream = ingest_stream(
+        spark, landing, path, scratch_path(spark, "progress"), entries.schema, mode="two_stage", files_per_batch=1
+    )
+    stream.awaitTermination()
+    return read_two_stage(spark, path, entries.schema).select(*MEMBER, *DEDUP_COLUMNS)
+
+
 # Reports ----------------------------------------------------------------
 
 

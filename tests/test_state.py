@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from stowage.operators.dedup import dedup, originals
 from stowage.operators.logtable import ConcurrentUpdate, LogTable, create_if_absent
 from stowage.schemas import HASH_CACHE
 from stowage.streaming.ingest import ingest_batch, ingest_stream, read_ingested
+from stowage.streaming.two_stage import read_two_stage, two_stage_batch
 
 import pytest
 
@@ -114,6 +116,41 @@ def test_batches_can_be_run_again(spark, rows, tmp_path):
     assert got == {("a", 0, 0), ("b", 1, 1)}
 
 
-def test_stream_refuses_two_stage(spark, tmp_path):
+def verdicts(df):
+    return sorted((r.archive, r.entry_ix, r.is_duplicate, r.group_size, r.original_archive, r.original_path) for r in df.collect())
+
+
+def test_two_stage_batches_in_any_order(spark, rows, tmp_path):
+    rng = random.Random(1)
+    data = [(f"z{rng.randrange(5)}", i, f"{rng.choice('ab')}/f{rng.randrange(12)}.jpg", rng.randrange(2), rng.randrange(3)) for i in range(40)]
+    data += [("z9", 100, None, 7, None), ("y0", 101, "b/f0.jpg", 0, 0)]
+    batches = [[] for _ in range(4)]
+    for row in data:
+        rng.choice(batches).append(row)
+    path = str(tmp_path / "two")
+    for n, batch in enumerate(batches):
+        for _ in range(1 + (n % 2)):  # every other batch is run twice
+            two_stage_batch(rows(batch, ENTRIES), n, path)
+        seen = [row for b in batches[: n + 1] for row in b]
+        if n in (1, 3):
+            assert verdicts(read_two_stage(spark, path, rows(data, ENTRIES).schema)) == verdicts(dedup(rows(seen, ENTRIES)))
+    # Each change names the original it replaces: played back, they give the last originals.
+    current = {}
+    for r in sorted(spark.read.parquet(f"{path}/changes").collect(), key=lambda r: r.batch_id):
+        assert current.get(r.content_key) == (r.old and tuple(r.old.place))
+        current[r.content_key] = tuple(r.new.place)
+    assert current
+
+
+def test_a_batch_reads_only_its_buckets(spark, rows, tmp_path):
+    table = LogTable(spark, str(tmp_path / "t"), HASH_CACHE, st.HASH_KEYS)
+    table.upsert(rows([("r", f"f{i}", 1, T0, "k", T0) for i in range(500)], CACHE))
+    plan = table.read(like=rows([("r", "f1", 1, T0, "k", T0)], CACHE))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [(_bucket" in plan
+    files = table.read(like=rows([("r", "f1", 1, T0, "k", T0)], CACHE)).inputFiles()
+    assert len(table.read().inputFiles()) > 50 and all("_bucket=" in f for f in files)
+
+
+def test_stream_refuses_unknown_modes(spark, tmp_path):
     with pytest.raises(ValueError):
-        ingest_stream(spark, str(tmp_path), str(tmp_path), str(tmp_path), spark.range(1).schema, mode="two_stage")
+        ingest_stream(spark, str(tmp_path), str(tmp_path), str(tmp_path), spark.range(1).schema, mode="three_stage")
