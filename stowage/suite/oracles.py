@@ -642,6 +642,10 @@ FROM zips WHERE content_key NOT IN (SELECT content_key FROM dir) GROUP BY 1
 """)
 oracle("archive_keys", "zips", "SELECT archive, entry_ix, content_key FROM zips")
 oracle("directory_scan", "dir", "SELECT file_path, file_size, content_key FROM dir")
+oracle("fingerprints", "dir", """
+SELECT file_path, count(*) OVER (PARTITION BY content_key) AS copies,
+       file_size > 0 AND count(*) OVER (PARTITION BY file_size) > 1 AS was_read FROM dir
+""")
 oracle("directory_hash_selected", "dir hcache", """
 SELECT file_path, file_size, content_key FROM dir WHERE file_path NOT IN (SELECT file_path FROM hcache)
 """)

@@ -24,6 +24,7 @@ from ..session import ship
 from ..sources import archives as ar
 from ..sources import directories as di
 from ..sources import extraction as xt
+from ..sources import fingerprints as fp
 from ..sources import manifests as mf
 from ..storage import scratch_path, settle
 from ..streaming.ingest import ingest_stream, read_ingested
@@ -810,6 +811,15 @@ def directory_scan(spark, sf):
     return di.scan_directory(spark, path, "full").select("file_path", "file_size", "content_key")
 
 
+@query
+def fingerprints(spark, sf):
+    # Small samples, so that files go through every level.
+    path = scratch_path(spark, "tree")
+    export_files(v.library_files(spark, sf), path)
+    listed = di.list_directory(spark, path).select("root", "file_path", "file_size")
+    return fp.fingerprint(listed, sample=64).select("file_path", "copies", (F.col("bytes_read") > 0).alias("was_read"))
+
+
 @query
 def directory_hash_selected(spark, sf):
     # Only files without a cached key are opened.

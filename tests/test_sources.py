@@ -17,6 +17,7 @@ from stowage.operators.state import CatalogState
 from stowage.sources import archives as ar
 from stowage.sources import directories as di
 from stowage.sources import extraction as ex
+from stowage.sources import fingerprints as fp
 from stowage.sources import manifests as mf
 from stowage.schemas import MANIFEST
 
@@ -249,3 +250,27 @@ def test_tasks_of_about_equal_bytes(spark):
         tasks[r.task] = tasks.get(r.task, 0) + r.file_size
     sizes = list(tasks.values())
     assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+
+
+def test_fingerprints_read_only_what_is_needed(spark, tmp_path):
+    base = bytes(range(256)) * 4  # 1,024 bytes; samples of 100
+    data = {
+        "alone": b"x" * 77, "a": base, "a2": base, "early": b"!" + base[1:], "middle": base[:600] + b"!" + base[601:], "late": base[:-1] + b"!",
+        "hidden": base[:300] + b"!" + base[301:], "s1": b"short", "s2": b"short", "s3": b"shirt", "e1": b"", "e2": b"", "m1": b"y" * 150, "m2": b"y" * 149 + b"z",
+    }
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    listed = di.list_directory(spark, str(tmp_path)).select("root", "file_path", "file_size")
+    lost = listed.limit(1).withColumn("file_path", F.lit("gone")).withColumn("file_size", F.lit(1024).cast("bigint"))
+    for hot_rows in (None, 2):
+        got = {r.file_path: r for r in fp.fingerprint(listed.unionByName(lost), sample=100, hot_rows=hot_rows).collect()}
+        assert got.pop("gone")[3:5] == (None, None) and got.keys() == data.keys()
+        for x in data:
+            assert got[x].copies == sum(c == data[x] for c in data.values())
+            assert all((got[x].fingerprint == got[y].fingerprint) == (data[x] == data[y]) for y in data)
+        read = {x: r.bytes_read for x, r in got.items()}
+        # Nothing of lone sizes and empty files; the head; head and samples; and the whole only where those agree.
+        assert read == {
+            "alone": 0, "e1": 0, "e2": 0, "s1": 5, "s2": 5, "s3": 5, "early": 100, "middle": 400, "late": 400, "m1": 250, "m2": 250,
+            "a": 1424, "a2": 1424, "hidden": 1424,
+        }
