@@ -92,3 +92,33 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesc
        sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN lost ON lost.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+# crc32 of the decimal id, bit by bit. Runs are stretches of words equal to those q later; as they hold five such words at
+# least, three words on are compared at once. A stretch whose period is a multiple of a smaller one's that covers it is none.
+_CRC = """list_reduce(
+  [4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || CAST(range(8) AS UBIGINT[]),
+                           lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384::UBIGINT) ELSE d >> 1 END))"""
+
+ORACLES["op11_periodic_runs"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w, CAST(xor({_CRC}, 4294967295::UBIGINT) AS BIGINT) AS h FROM documents),
+s AS (SELECT *, len(w) AS n, h // 10 % greatest(len(w), 1) AS a, h // 10 % 8 AS e FROM w),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] END)
+        ELSE w END AS w FROM s),
+each_word AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+tri AS (SELECT doc_id, n, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM each_word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+same AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM tri l JOIN tri r
+         ON l.doc_id = r.doc_id AND l.x = r.x AND l.y = r.y AND l.z = r.z AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+parts AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+found AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS len FROM parts GROUP BY doc_id, q, part HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM found f WHERE NOT EXISTS (
+           SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.q < f.q AND f.q % g.q = 0 AND g.s <= f.s AND g.s + g.len >= f.s + f.len)),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS r FROM runs) WHERE r = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS t FROM each_word e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+       sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
