@@ -132,6 +132,43 @@ def dedup_counts(deduped: DataFrame) -> DataFrame:
     )
 
 
+def entry_totals(entries: DataFrame, mode: str = "two_stage") -> DataFrame:
+    """One row: files, bytes, duplicates and their bytes, as :func:`dedup` would find them, from counts alone.
+
+    A content key's candidates are its members without those that are alone in
+    their name group; all but one of them are duplicates. So two aggregations,
+    both combined before their shuffle, replace the joins that say which
+    member is which.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown dedup mode {mode!r}")
+    keyed = with_key(entries)
+    known, none = F.col("content_key").isNotNull(), F.lit(0).cast("bigint")
+    # Members without a key equal no other; they count as files only.
+    keys = keyed.groupBy("content_key").agg(
+        F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.max("file_size").alias("_size")
+    ).withColumn("_members", F.when(known, F.col("files")).otherwise(0))
+    if mode == "two_stage":
+        alone = (
+            keyed.select("file_size", name_key().alias("norm_name"), "content_key")
+            .groupBy("file_size", "norm_name")
+            .agg(F.count("*").alias("_n"), F.max("content_key").alias("content_key"))
+            .filter((F.col("_n") == 1) & known)
+            .select("content_key", none.alias("files"), none.alias("bytes"), F.col("file_size").alias("_size"), F.lit(-1).alias("_members"))
+        )
+        keys = keys.unionByName(alone).groupBy("content_key").agg(
+            *[F.sum(c).alias(c) for c in ("files", "bytes", "_members")], F.max("_size").alias("_size")
+        )
+    extra = F.greatest(F.col("_members") - 1, F.lit(0))
+    sums = {"files": F.col("files"), "bytes": F.col("bytes"), "duplicates": extra, "wasted_bytes": extra * F.col("_size")}
+    return keys.agg(*[F.coalesce(F.sum(c), none).cast("bigint").alias(name) for name, c in sums.items()])
+
+
+def entry_counts(entries: DataFrame, mode: str = "two_stage") -> DataFrame:
+    """:func:`dedup_counts` of undeduplicated entries."""
+    return entry_totals(entries, mode).select((F.col("files") - F.col("duplicates")).alias("unique_keys"), "duplicates")
+
+
 def directory_index(files: DataFrame) -> DataFrame:
     """Directory files per content key: count and first path."""
     return files.groupBy("content_key").agg(

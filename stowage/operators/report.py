@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import archive_label, display_path, file_name, file_type, human_size, short_hash
 from ..functions.paths import TYPE_NAMES
+from .dedup import entry_totals
 
 # Fixed values.
 LARGEST_SHOWN = 20
@@ -54,6 +55,17 @@ def summary_stats(deduped: DataFrame) -> DataFrame:
     )
 
 
+def entry_summary(entries: DataFrame, mode: str = "two_stage") -> DataFrame:
+    """:func:`summary_stats` of undeduplicated entries, from counts alone."""
+    totals = entry_totals(entries, mode).withColumn("archives", _zero())
+    archives = entries.groupBy("archive").agg(F.count("*").alias("_rows")).agg(F.count("*").alias("archives"))
+    rows = totals.unionByName(archives, allowMissingColumns=True)
+    return rows.agg(*[F.sum(c).alias(c) for c in totals.columns]).select(
+        F.col("files").alias("total_files"), (F.col("files") - F.col("duplicates")).alias("unique_files"),
+        F.col("duplicates").alias("duplicate_files"), F.col("bytes").alias("total_bytes"), "wasted_bytes", "archives",
+    )
+
+
 def archive_stats(deduped: DataFrame) -> DataFrame:
     """Per archive: files, bytes, duplicates, unique, members of each type, share of duplicates."""
     dup = F.col("is_duplicate")

@@ -224,7 +224,7 @@ def originals(spark, sf):
 
 @query
 def dedup_counts(spark, sf):
-    return dd.dedup_counts(_lines_deduped(spark, sf))
+    return dd.entry_counts(_lines(spark, sf))
 
 
 @query
@@ -376,7 +376,7 @@ def summary_stats(spark, sf):
 
 @query
 def summary_stats_lines(spark, sf):
-    return rp.summary_stats(_lines_deduped(spark, sf))
+    return rp.entry_summary(_lines(spark, sf))
 
 
 @query

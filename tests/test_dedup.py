@@ -10,10 +10,12 @@ from stowage.operators.dedup import (
     directory_index,
     duplicate_groups,
     duplicates,
+    entry_counts,
     originals,
     split_candidates,
     with_types,
 )
+from stowage.operators import report as rp
 from stowage.operators.skew import attach, heavy_keys
 
 SCHEMA = "archive string, entry_ix bigint, file_path string, file_size bigint, file_crc bigint"
@@ -167,3 +169,15 @@ def test_source_is_read_once(spark, tmp_path):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") >= 2 and plan.count("FileScan") <= 3
+
+
+@pytest.mark.parametrize("mode", ["two_stage", "content_only"])
+def test_totals_from_counts_alone(spark, mode):
+    df = spark.range(3000).selectExpr(
+        "'z' || id % 7 AS archive", "id AS entry_ix", "'p/f' || (id * 31 % 900) || '.jpg' AS file_path", "id * 7 % 11 AS file_size",
+        "IF(id % 50 = 0, NULL, (id * 7 % 11) || '_' || (id * 13 % 5)) AS content_key",
+    )
+    full = dedup(df, mode)
+    assert entry_counts(df, mode).collect() == dedup_counts(full).collect()
+    assert rp.entry_summary(df, mode).collect() == rp.summary_stats(full).collect()
+    assert tuple(entry_counts(df.limit(0), mode).first()) == (0, 0) and tuple(rp.entry_summary(df.limit(0), mode).first()) == (0, 0, 0, 0, 0, 0)
