@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import archive_label, display_path, file_name, file_type, human_size, short_hash
 from ..functions.paths import TYPE_NAMES
 from .dedup import entry_totals
+from .skew import attach
 
 # Fixed values.
 LARGEST_SHOWN = 20
@@ -176,13 +177,14 @@ def original_locations(
     The names are limited inside each map task before they are shuffled, so an
     archive of any size sends at most ``names`` rows per task.
     """
-    per_archive = (
+    whole = (
         deduped.groupBy("archive")
         .agg(F.count("*").alias("_files"), F.count_if(F.col("is_duplicate")).alias("_dups"))
         .filter(F.col("_files") == F.col("_dups"))
-        .select("archive")
+        .select("archive", "_files")
     )
-    dups = deduped.filter(F.col("is_duplicate"))
+    # Only the members of those archives are ranked.
+    dups = attach(deduped.filter(F.col("is_duplicate")), whole, ["archive"], list(order_cols), "_files").filter("_files IS NOT NULL")
     places = dups.groupBy("archive", "original_archive").agg(F.count("*").alias("files"))
     first_names = Window.partitionBy("archive", "original_archive").orderBy(*order_cols)
     listed = (
@@ -197,7 +199,7 @@ def original_locations(
             ).alias("names")
         )
     )
-    shown = places.join(per_archive, "archive", "left_semi").join(listed, ["archive", "original_archive"])
+    shown = places.join(listed, ["archive", "original_archive"])
     return shown.select(
         "archive", "original_archive", "files", F.array_join("names", "|").alias("first_names"),
         F.greatest(F.col("files") - names, _zero()).alias("more_names"),
