@@ -6,10 +6,18 @@ query states only what is its own.
 
 from __future__ import annotations
 
-from ..functions.paths import FILE_TYPES
 from .queries import PARTIAL_SAMPLE
 from .views import EXPORT_PREFIX
 
+# Extensions by type, stated here for themselves so that the SQL does not rest on the code it checks.
+FILE_TYPES = {
+    "image": [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".heic", ".raw", ".tiff", ".svg"],
+    "video": [".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".3gp"],
+    "audio": [".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a"],
+    "document": [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".txt", ".rtf", ".odt"],
+    "data": [".json", ".xml", ".csv", ".html", ".htm"],
+}
+
 CTES: dict[str, str] = {}
 USES: dict[str, list[str]] = {}
 ORACLES: dict[str, str] = {}

@@ -274,3 +274,20 @@ def test_fingerprints_read_only_what_is_needed(spark, tmp_path):
             "alone": 0, "e1": 0, "e2": 0, "s1": 5, "s2": 5, "s3": 5, "early": 100, "middle": 400, "late": 400, "m1": 250, "m2": 250,
             "a": 1424, "a2": 1424, "hidden": 1424,
         }
+
+
+def test_folders_of_others_are_not_replaced(spark, tmp_path):
+    df = spark.createDataFrame([("k", 1, 1, None, "", "z", "a", 0)], MANIFEST)
+    path = tmp_path / "m"
+    for _ in range(2):  # an own manifest is replaced
+        mf.write_manifest(df, str(path), "now")
+    assert mf.read_manifest_header(spark, str(path)).first().total_unique_files == 1
+    for place in (path / "files", path):
+        (place / "photo.jpg").write_bytes(b"x")
+        with pytest.raises(ValueError, match="photo.jpg"):
+            mf.write_manifest(df, str(path), "now")
+        (place / "photo.jpg").unlink()
+    (tmp_path / "r" / "types").mkdir(parents=True)
+    (tmp_path / "r" / "types" / "mine.txt").write_text("x")
+    with pytest.raises(ValueError):
+        mf.write_report({"types": df}, str(tmp_path / "r"))
