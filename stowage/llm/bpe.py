@@ -132,6 +132,8 @@ class Known(dict):
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
+    remembered = CACHED_WORDS
+
     def __init__(self, path: str):
         import regex
 
@@ -139,11 +141,8 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.merges = Merges(self.vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
-        suffix, number = model["end_of_word_suffix"] or "", self.merges.number
-        self.letters = letters = byte_letters()
-        self.inner = [number.get(c, self.merges.unknown) for c in letters]
-        self.final = [number.get(c + suffix, self.merges.unknown) for c in letters]
+        self.letters = byte_letters()
+        self.rank(path, model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in {**self.vocab, **self.special}.items()}
         named = sorted(self.special, key=len, reverse=True)
@@ -154,7 +153,14 @@ class Codec:
         # The same on lower-case ASCII, where the letters and digits can be named.
         plain = pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")
         self.ascii_words = re.compile(plain).findall if r"\p" not in plain else self.words
-        self.known = Known(CACHED_WORDS)
+        self.known = Known(self.remembered)
+
+    def rank(self, path: str, model: dict) -> None:
+        """Set up what :meth:`word` codes with."""
+        self.merges = Merges(self.vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        suffix, number = model["end_of_word_suffix"] or "", self.merges.number
+        self.inner = [number.get(c, self.merges.unknown) for c in self.letters]
+        self.final = [number.get(c + suffix, self.merges.unknown) for c in self.letters]
 
     def word(self, word: str) -> bytes:
         """Packed ids of one word."""

@@ -35,10 +35,11 @@ from stowage.llm.common import batches, rows, settle, texts
 
 
 class LibraryCodec(Codec):
-    """The encoder with words coded by the tokenizers library's own model."""
+    """The encoder with words coded by the tokenizers library's own model, whose merges stand in for tables of our own."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    remembered = 100_000
+
+    def rank(self, path: str, model: dict) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
