@@ -86,8 +86,8 @@ def pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
 
 #: Lengths a pricing step chooses from, and the share of a sequence below which pieces are kept back for the rounding.
 PRICED, SMALL = 64, 16
-#: Pricing steps aimed at, and the most rounds of covering every length.
-STEPS, ROUNDS = 2048, 32
+#: Rounds of covering every length, the same for every input.
+ROUNDS = 4
 
 #: Pieces of one kind of sequence, as (length, how many), and how many sequences of this kind there are.
 Bins = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -104,10 +104,9 @@ def knapsack(size: int, lengths: list[int], most: list[int], values: list[float]
             times *= 2
     best, taken = np.zeros(size + 1), np.zeros((len(items), size + 1), bool)
     for k, (i, width, times) in enumerate(items):
-        with_it = best[: size + 1 - width] + values[i] * times
-        better = with_it > best[width:]
-        taken[k, width:] = better
-        best[width:] = np.where(better, with_it, best[width:])
+        with_it, without = best[: size + 1 - width] + values[i] * times, best[width:]
+        np.greater(with_it, without, out=taken[k, width:])
+        np.maximum(with_it, without, out=without)
     room, chosen = size, defaultdict(int)
     for k in range(len(items) - 1, -1, -1):
         if taken[k, room]:
@@ -120,18 +119,17 @@ def knapsack(size: int, lengths: list[int], most: list[int], values: list[float]
 def configurations(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[dict[int, int], float]]:
     """A near-optimal solution of the configuration program: configurations (index of a length: times) and their amounts.
 
-    Every length is covered several times over, and the amounts divided by
-    that, so that the weights settle: the fewer the lengths, the more rounds.
-    Each step covers one length for the rest of its round.
+    Every length is covered ``ROUNDS`` times over, and the amounts divided by
+    that, so that the weights settle. Each step covers one length for the rest
+    of its round, and chooses from lengths drawn by the weights: what is least
+    covered comes first.
     """
-    rounds = int(np.clip(STEPS // max(len(lengths), 1), 1, ROUNDS))
     covered, amounts = np.zeros(len(lengths)), defaultdict(float)
     chance = np.random.default_rng(0)
-    while len(wanted := np.flatnonzero(covered < rounds - 1e-9)):
-        if len(wanted) > PRICED:  # a draw by the weights: what is least covered comes first
-            draw = chance.gumbel(size=len(wanted)) - covered[wanted]
-            wanted = wanted[np.argpartition(-draw, PRICED)[:PRICED]]
-        need = counts[wanted] * np.minimum(rounds - covered[wanted], 1)
+    while len(wanted := np.flatnonzero(covered < ROUNDS - 1e-9)):
+        draw = covered[wanted] - chance.gumbel(size=len(wanted))
+        wanted = np.sort(wanted[np.argsort(draw)[:PRICED]])
+        need = counts[wanted] * np.minimum(ROUNDS - covered[wanted], 1)
         values = lengths[wanted] / size * np.exp(covered[wanted].min() - covered[wanted])
         chosen = knapsack(size, lengths[wanted].tolist(), np.ceil(need).astype(np.int64).tolist(), values.tolist())
         at, times = wanted[list(chosen)], np.array(list(chosen.values()))
@@ -140,7 +138,7 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[t
         covered[at] += times * amount / counts[at]
         whole = np.round(covered[at])
         covered[at] = np.where(np.abs(covered[at] - whole) < 1e-9, whole, covered[at])
-        amounts[tuple(sorted(zip(at.tolist(), times.tolist(), strict=True)))] += amount / rounds
+        amounts[tuple(sorted(zip(at.tolist(), times.tolist(), strict=True)))] += amount / ROUNDS
     return [(dict(c), x) for c, x in amounts.items()]
 
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stowage.llm import packing, runs, whitening
+from stowage.llm import bpe, packing, runs, whitening
 from stowage.llm.queries import REGISTRY, vocabulary
 
 
@@ -226,6 +226,24 @@ def test_kinds_hold_the_histogram_and_are_few(lengths):
     assert sum(n for _, n in bins) <= fewest(lengths, 40) + 1
 
 
+@pytest.mark.parametrize("lengths, size", [([60, 61, 62], 128), (range(101, 1200), 1200)])
+def test_few_and_many_lengths_are_covered_as_often(lengths, size):
+    lengths = np.array(lengths)
+    solved = packing.configurations(lengths, np.ones(len(lengths), np.int64), size)
+    covered = np.zeros(len(lengths))
+    for chosen, amount in solved:
+        covered[list(chosen)] += np.array(list(chosen.values())) * amount
+    assert (covered > 1 - 1e-9).all()
+    # With one piece of each length, an amount is a number of rounds: a fourth at least, and less than one round in one.
+    amounts = np.array([x for _, x in solved])
+    assert np.allclose(amounts * 4 % 1, 0) and amounts.min() < 1
+
+
+def test_workers_hold_one_set_of_merges():
+    codec = packing.library_codec(vocabulary())
+    assert not hasattr(codec, "merges") and codec.known.limit < bpe.CACHED_WORDS
+
+
 def test_many_pieces_of_one_length():
     bins = packing.solve({1: 10**9, 3: 10**8 + 1, 4096: 7, 2049: 10**6, 2047: 10**6}, 4096)
     assert sum(n for _, n in bins) - (10**9 + 3 * (10**8 + 1) + 7 * 4096 + 4096 * 10**6) / 4096 < 3 and len(bins) < 50
