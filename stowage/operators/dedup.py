@@ -57,6 +57,55 @@ def _order_text(order_cols) -> Column:
     return F.concat_ws("/", F.lit("u"), *[F.col(c).cast("string") for c in order_cols])
 
 
+def _described(order_cols: list[str]) -> Column:
+    """A member as its place in scan order and its path, with the archive where the place does not name it."""
+    named = ["file_path"] if "archive" in order_cols else ["archive", "file_path"]
+    return F.struct(F.struct(*order_cols).alias("place"), *named)
+
+
+#: Hash values that stand for name groups of more than one content; bounds a broadcast.
+MIXED_SLOTS = 1 << 18
+
+
+def _cell_facts(keyed: DataFrame, order_cols: list[str], hot_rows: int | None) -> DataFrame:
+    """For every (file_size, norm_name, content_key) of name groups with a mate: members, and size and first of the key.
+
+    The members of a name group mostly hold the same content; then the group's
+    own aggregate says all that is needed of it. Members of the other groups are
+    counted by content as well, after a look at a short list of hash values, so
+    that only they, and chance equals, are shuffled again. What keys have in
+    common is worked out on these cells; members are joined to it once.
+    """
+    first = _described(order_cols)
+    # The condition that the joins below put on their keys stands here, before all uses, so that their plans are equal.
+    members = keyed.filter("file_size IS NOT NULL").select("file_size", name_key().alias("norm_name"), "content_key", first.alias("_least"))
+    name = ["file_size", "norm_name"]
+    # The last condition always holds; with it every use needs all aggregates, and they share one exchange.
+    groups = members.groupBy(*name).agg(
+        F.count("*").alias("_n"), F.min("_least").alias("_least"), F.count("content_key").alias("_known"),
+        F.min("content_key").alias("content_key"), F.max("content_key").alias("_high"),
+    ).filter((F.col("_n") > 1) & F.col("_least").isNotNull())
+    even = F.coalesce((F.col("content_key") == F.col("_high")) & (F.col("_known") == F.col("_n")), F.lit(False))
+    columns = [*name, "content_key", "_n", "_group_first", "_least"]
+    same = groups.filter(even).withColumn("_group_first", F.col("_least.place")).select(*columns)
+
+    slot = F.coalesce(F.pmod(F.xxhash64(*name), F.lit(MIXED_SLOTS)), F.lit(0)).alias("_slot")
+    mixed = groups.filter(~even)
+    slots = mixed.select(slot).distinct()
+    perhaps = members.filter("content_key IS NOT NULL").withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi")
+    counted = perhaps.groupBy(*name, "content_key").agg(F.count("*").alias("_n"), F.min("_least").alias("_least"))
+    leads = mixed.select(*name, F.col("_n").alias("_mates"), F.col("_least.place").alias("_group_first"))
+    several = attach(counted, leads, name, ["content_key"], "_mates", hot_rows).filter("_mates IS NOT NULL").select(*columns)
+
+    cells = same.unionByName(several)
+    rank = F.struct("_group_first", "_least.place").alias("rank")
+    keys = cells.groupBy("content_key").agg(
+        F.sum("_n").alias("_size"), F.min(F.struct(rank, F.col("_least"))).alias("_first"), F.count("*").alias("_cells")
+    ).select("content_key", "_size", F.col("_first._least").alias("_first"), "_cells")
+    facts = attach(cells.select(*name, "content_key", "_n"), keys, ["content_key"], name, "_cells", hot_rows)
+    return facts.select(*name, "content_key", "_n", "_size", "_first")
+
+
 def dedup(
     entries: DataFrame,
     mode: str = "two_stage",
@@ -77,36 +126,31 @@ def dedup(
         raise ValueError(f"unknown dedup mode {mode!r}")
     order_cols = list(order_cols)
     keyed = with_key(entries)
-    place = F.struct(*order_cols).alias("place")
+    place = F.struct(*order_cols)
     if mode == "two_stage":
-        staged = _stage_one(keyed, order_cols, hot_rows)
-        candidate = F.col("_n").isNotNull()
-        rank = F.struct(F.col("_group_first"), place)
-        # A member whose content is unknown (no key) equals no other.
-        known = F.when(candidate, F.col("content_key"))
-        staged = staged.withColumn("dedup_key", F.coalesce(known, _order_text(order_cols)))
-        pool = staged.filter(candidate)
+        # A member without a key meets no other; it takes a spread key that no cell has.
+        filler = F.concat(F.lit("\x02"), F.pmod(F.xxhash64(*order_cols), F.lit(8192)).cast("string"))
+        rows = keyed.withColumn("norm_name", name_key()).withColumn("_key", F.coalesce("content_key", filler))
+        facts = _cell_facts(keyed, order_cols, hot_rows).withColumnRenamed("content_key", "_key")
+        found = attach(rows, facts, ["file_size", "norm_name", "_key"], order_cols, "_n", hot_rows)
+        own = F.when(F.col("_size").isNotNull(), F.col("content_key"))
     else:
-        staged = keyed.withColumn("dedup_key", F.coalesce("content_key", _order_text(order_cols)))
-        rank = F.struct(place)
-        pool = staged
-    # The same columns describe a member here and at the comparison below, so
-    # that both branches shuffle equal columns and the exchanges are reused.
-    member = F.struct(rank.alias("rank"), F.col("archive"), F.col("file_path"))
-    groups = (
-        pool.select("dedup_key", member.alias("_member"))
-        .groupBy("dedup_key")
-        .agg(F.count("*").alias("_size"), F.min("_member").alias("_first"))
-        .filter(F.col("_size") > 1)
-    )
-    found = attach(staged, groups, ["dedup_key"], order_cols, "_size", hot_rows)
-    grouped = F.col("_size").isNotNull()
+        rows = keyed.withColumn("_key", F.coalesce("content_key", _order_text(order_cols)))
+        groups = (
+            rows.select("_key", _described(order_cols).alias("_member"))
+            .groupBy("_key")
+            .agg(F.count("*").alias("_size"), F.min("_member").alias("_first"))
+            .filter(F.col("_size") > 1)
+        )
+        found = attach(rows, groups, ["_key"], order_cols, "_size", hot_rows)
+        own = F.col("content_key")
+    grouped = F.coalesce(F.col("_size") > 1, F.lit(False))
     return found.select(
         *[F.col(c) for c in keyed.columns],
-        "dedup_key",
-        F.coalesce(grouped & (member != F.col("_first")), F.lit(False)).alias("is_duplicate"),
+        F.coalesce(own, _order_text(order_cols)).alias("dedup_key"),
+        F.coalesce(grouped & (place != F.col("_first.place")), F.lit(False)).alias("is_duplicate"),
         F.coalesce("_size", F.lit(1).cast("bigint")).alias("group_size"),
-        F.when(grouped, F.col("_first.archive")).otherwise(F.col("archive")).alias("original_archive"),
+        F.when(grouped, F.col("_first.place.archive" if "archive" in order_cols else "_first.archive")).otherwise(F.col("archive")).alias("original_archive"),
         F.when(grouped, F.col("_first.file_path")).otherwise(F.col("file_path")).alias("original_path"),
     )
 

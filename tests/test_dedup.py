@@ -181,3 +181,37 @@ def test_totals_from_counts_alone(spark, mode):
     assert entry_counts(df, mode).collect() == dedup_counts(full).collect()
     assert rp.entry_summary(df, mode).collect() == rp.summary_stats(full).collect()
     assert tuple(entry_counts(df.limit(0), mode).first()) == (0, 0) and tuple(rp.entry_summary(df.limit(0), mode).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def shuffles_of(node, column):
+    """Shuffles that carry a column, below a plan node."""
+    names = [node.output().apply(i).name() for i in range(node.output().size())]
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    return (node.nodeName() == "Exchange" and column in names) + sum(shuffles_of(x, column) for x in below)
+
+
+def test_members_are_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    spark.createDataFrame(random_catalog(3), SCHEMA).withColumn("note", F.col("file_path")).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        noted = dedup(spark.read.parquet(path)).filter("is_duplicate").select("note")
+        assert shuffles_of(noted._jdf.queryExecution().executedPlan(), "note") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_name_groups_of_several_contents_and_of_none(rows, hot_rows):
+    data = [("z", i, f"d{i}/a.jpg", 5, i % 3) for i in range(9)] + [("y", i, f"d{i}/b.jpg", 5, 1) for i in range(4)]
+    df = rows(data + [("x", 0, "alone.jpg", 5, 2)], SCHEMA.split(", file_crc")[0] + ", file_crc long")
+    df = df.withColumn("content_key", F.expr("IF(archive = 'z' AND entry_ix > 6, NULL, '5_' || file_crc)"))
+    got = {(r.archive, r.entry_ix): r for r in dedup(df, hot_rows=hot_rows).collect()}
+    # "y" comes first, and its content is one of those of the mixed group.
+    assert {k: (r.group_size, r.original_archive, r.original_path) for k, r in got.items() if r.is_duplicate} == {
+        **{("y", i): (6, "y", "d0/b.jpg") for i in (1, 2, 3)}, **{("z", i): (6, "y", "d0/b.jpg") for i in (1, 4)},
+        **{("z", i): (3, "z", "d0/a.jpg") for i in (3, 6)}, ("z", 5): (2, "z", "d2/a.jpg"),
+    }
+    assert all(got[k].group_size == 1 for k in [("z", 7), ("z", 8), ("x", 0)])
