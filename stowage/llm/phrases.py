@@ -12,25 +12,29 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WordHashes
 from stowage.llm.repeats import ALWAYS, NO_ID, Kind, Runs, Segments, find_repeats
 
 WIDTH, GRAM = 35, 12
 #: Words of passages compiled into one automaton.
 SHARD_WORDS = 1_000_000
 
-_KNOWN = WordHashes()
+
+def codes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, equal on every worker; most words of a corpus are rare, so none is remembered."""
+    return hash_array(np.array(words, object), categorize=False)
 
 
 def words_kind() -> Kind:
     return Kind(
-        WIDTH, GRAM, read=bytes.split, codes=_KNOWN.of,
+        WIDTH, GRAM, read=bytes.split, codes=codes,
         cut=lambda w, a, b: b" ".join(w[a:b]), by_document=False,
     )
 
@@ -44,33 +48,34 @@ class Letters(dict):
         return value
 
 
+def windows(text: bytes, words: list[bytes]) -> list[bytes]:
+    """The windows of a text whose words are joined by single spaces, as slices of it."""
+    starts = [0, *accumulate([len(w) + 1 for w in words])]
+    return [text[a : b - 1] for a, b in zip(starts, starts[WIDTH:], strict=False)]
+
+
 def confirmed(segments: Segments) -> dict[bytes, list[tuple[int, int]]]:
     """Per distinct segment: runs of windows (first, number) that occur twice in the bucket, by count of their words."""
     n: Counter[bytes] = Counter()
     for text, v in zip(segments.content, segments.value.tolist(), strict=True):
         n[text] += v
-    split = {t: t.split(b" ") for t in n}
+    single = {t: windows(t, t.split(b" ")) for t, k in n.items() if k < 2}
     seen: Counter[bytes] = Counter()
-    for t, w in split.items():
-        if n[t] < 2:
-            for i in range(len(w) - WIDTH + 1):
-                seen[b" ".join(w[i : i + WIDTH])] += 1
+    for held in single.values():
+        seen.update(held)
     # Segments that occur twice repeat as a whole; their windows matter to single ones alone.
-    for t, w in split.items():
-        if n[t] >= 2:
-            for i in range(len(w) - WIDTH + 1):
-                key = b" ".join(w[i : i + WIDTH])
-                if key in seen:
-                    seen[key] += 2
+    twice = {w for w, k in seen.items() if k > 1}
+    for t, k in n.items():
+        if k >= 2:
+            twice.update(seen.keys() & windows(t, t.split(b" ")))
     out: dict[bytes, list[tuple[int, int]]] = {}
-    for t, w in split.items():
-        total = len(w) - WIDTH + 1
-        if n[t] >= 2:
-            out[t] = [(0, total)]
+    for t, k in n.items():
+        if k >= 2:
+            out[t] = [(0, t.count(b" ") + 2 - WIDTH)]
             continue
         runs: list[tuple[int, int]] = []
-        for i in range(total):
-            if seen[b" ".join(w[i : i + WIDTH])] >= 2:
+        for i, w in enumerate(single[t]):
+            if w in twice:
                 if runs and sum(runs[-1]) == i:
                     runs[-1] = (runs[-1][0], runs[-1][1] + 1)
                 else:
@@ -96,7 +101,7 @@ def locate(passages: list[list[bytes]], texts: list[list[bytes]]) -> list[set[in
         get = letters.get
         for k, w in enumerate(texts):
             # A word no passage holds becomes the letter that stands for none.
-            for end, n in automaton.iter("".join([get(x, "\0") for x in w])):
+            for end, n in automaton.iter("".join(map(get, w, repeat("\0")))):
                 found[k].update(range(end - n + 1, end - WIDTH + 2))
     return found
 

@@ -162,3 +162,13 @@ def test_strings_told_apart_by_their_bytes(monkeypatch, collide):
     for i in range(n):
         for k in range(35):
             assert bound[i, k] == min(least[j] for j in range(n) if texts[j][k : k + 50] == texts[i][k : k + 50])
+
+
+def test_words_are_coded_and_windows_cut_in_one_go():
+    words = [f"w{i % 50}".encode() for i in range(120)]
+    codes = phrases.words_kind().codes(words)
+    assert codes.dtype == np.uint64 and len(set(codes.tolist())) == 50 and (codes[:50] == codes[50:100]).all()
+    text = b" ".join(words)
+    assert phrases.windows(text, words) == [b" ".join(words[i : i + 35]) for i in range(86)]
+    assert phrases.windows(b" ".join(words[:35]), words[:35]) == [b" ".join(words[:35])]
+    assert phrases.words_kind().codes([]).shape == (0,)
