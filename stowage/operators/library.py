@@ -13,8 +13,8 @@ from ..functions.paths import exact_suffix, file_stem
 from ..sources.archives import TASKS_PER_CORE
 from ..sources.extraction import by_bytes
 from ..storage import names_in, settle
-from .numbering import served
-from .prefix import SUM, running, sliced
+from .numbering import passed_over, served
+from .prefix import crowded, slotted
 from .skew import attach
 
 # Numbered names end in _1, _2 and so on; a number has no leading zero.
@@ -26,32 +26,30 @@ def _crowded(location: Column) -> Column:
     return F.concat(F.lit("Too many collisions for "), location)
 
 
-def _numbered(folder: str, stem: str, suffix: str, number: Column) -> Column:
+def _numbered(folder: str, name: str, number: Column) -> Column:
     return F.concat(
-        F.col(folder), F.lit("/"), F.col(stem), F.lit("_"), number.cast("string"), F.col(suffix)
+        F.col(folder), F.lit("/"), file_stem(name), F.lit("_"), number.cast("string"), exact_suffix(name)
     )
 
 
-def _names(wants: DataFrame, taken: DataFrame | None) -> DataFrame:
-    """One row per (folder, name): files that want it, and whether it is on disk."""
+def _claims(wants: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Every want of a (folder, name), and the names on disk."""
     claims = wants.select("_folder", "_name", F.lit(1).alias("_want"), F.lit(False).alias("_on_disk"))
-    if taken is not None:
-        claims = claims.unionByName(
-            taken.select(
-                F.coalesce(parent_dir("destination"), F.lit("")).alias("_folder"),
-                F.coalesce(file_name("destination"), F.lit("")).alias("_name"),
-                F.lit(0).alias("_want"),
-                F.lit(True).alias("_on_disk"),
-            )
-        )
+    if taken is None:
+        return claims
+    return claims.unionByName(taken.select("_folder", "_name", F.lit(0).alias("_want"), F.lit(True).alias("_on_disk")))
+
+
+def _names(claims: DataFrame) -> DataFrame:
+    """One row per (folder, name): files that want it, and whether it is on disk."""
     names = claims.groupBy("_folder", "_name").agg(
         F.sum("_want").alias("_want"), F.bool_or("_on_disk").alias("_on_disk")
     )
     return names.select("*", file_stem("_name").alias("_stem"), exact_suffix("_name").alias("_suffix"))
 
 
-def _numbered_names(names: DataFrame) -> DataFrame:
-    """The names that stand beside a wanted name as its numbered copies, with their place in the family.
+def _numbered_names(tailed: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names that stand beside a wanted name as its numbered copies, with their place in the family; the wanted names.
 
     ``a_1_2.jpg`` can meet the numbered names of ``a_1.jpg`` only if some file
     wants ``a_1.jpg``, and those of ``a.jpg`` only through it. So the family
@@ -59,24 +57,26 @@ def _numbered_names(names: DataFrame) -> DataFrame:
     is wanted by a file: ``_level`` times. ``_parent`` is the name one number
     shorter, ``_number`` that number, ``_family`` the topmost name.
     """
+    names = tailed.columns
     chain = F.regexp_extract("_stem", NUMBER_CHAIN, 1)
     depth = F.length(chain) - F.length(F.regexp_replace(chain, "_", ""))
-    tailed = names.filter(F.col("_stem").rlike(NUMBER_TAIL))
     parts = F.split("_stem", "_")
     steps = (
-        tailed.select(*names.columns, parts.alias("_parts"), F.explode(F.sequence(F.lit(1), depth)).alias("_level"))
+        tailed.select(*names, parts.alias("_parts"), F.explode(F.sequence(F.lit(1), depth)).alias("_level"))
         .select(
-            *names.columns,
+            *names,
             "_level",
             F.concat(
                 F.array_join(F.slice("_parts", F.lit(1), F.size("_parts") - F.col("_level")), "_"), F.col("_suffix")
             ).alias("_above"),
         )
     )
-    wanted = names.filter(F.col("_want") > 0).select("_folder", F.col("_name").alias("_above"))
+    # Written first, so that few names above are sent to the claims, not all claims to them.
+    above = settle(steps.select("_folder", F.col("_above").alias("_name")).distinct(), "above")
+    wanted = settle(_names(claims).join(above, ["_folder", "_name"], "left_semi").filter("_want > 0"), "wanted")
     reached = (
-        steps.join(wanted, ["_folder", "_above"])
-        .groupBy(*names.columns)
+        steps.join(wanted.select("_folder", F.col("_name").alias("_above")), ["_folder", "_above"])
+        .groupBy(*names)
         .agg(F.map_from_entries(F.collect_list(F.struct("_level", "_above"))).alias("_tops"))
     )
     # Highest level reached without a gap; at most one entry per number in a name.
@@ -87,36 +87,63 @@ def _numbered_names(names: DataFrame) -> DataFrame:
             (got == level - 1) & F.map_contains_key("_tops", level), level
         ).otherwise(got),
     )
-    return reached.withColumn("_level", climbed).filter("_level > 0").select(
-        *names.columns,
+    numbered = reached.withColumn("_level", climbed).filter("_level > 0").select(
+        *names,
         "_level",
         F.element_at("_tops", F.col("_level")).alias("_family"),
         F.element_at("_tops", F.lit(1)).alias("_parent"),
         F.element_at(parts, -1).try_cast("bigint").alias("_number"),
     )
+    return settle(numbered, "numbered"), wanted
 
 
-def _contested(names: DataFrame, hot_rows: int | None) -> DataFrame:
-    """The names of families in which some name is wanted twice, or wanted and on disk; ``_mixed`` families have several."""
+def _mixed(claims: DataFrame, hot_rows: int | None) -> DataFrame | None:
+    """The names of families of several names in which some name is wanted twice, or wanted and on disk."""
     busy = F.col("_want") + F.col("_on_disk").cast("bigint") > 1
-    numbered = settle(_numbered_names(names), "numbered")
+    tailed = settle(_names(claims.filter(file_stem("_name").rlike(NUMBER_TAIL))), "tailed")
+    if tailed.isEmpty():
+        return None
+    numbered, wanted = _numbered_names(tailed, claims)
     family = numbered.groupBy("_folder", F.col("_family").alias("_name")).agg(
         F.count("*").alias("_below"), F.max(busy).alias("_busy_below")
     )
-    tops = (
-        names.join(numbered.select("_folder", "_name"), ["_folder", "_name"], "left_anti")
-        .join(family, ["_folder", "_name"], "left")
-        .filter(busy | F.coalesce("_busy_below", F.lit(False)))
-        .select(
-            *names.columns, F.lit(0).alias("_level"), F.lit(None).cast("string").alias("_parent"),
-            F.lit(None).cast("bigint").alias("_number"), F.col("_below").isNotNull().alias("_mixed"), "_below",
-        )
+    tops = wanted.join(family, ["_folder", "_name"]).filter(busy | F.col("_busy_below")).select(
+        *tailed.columns, F.lit(0).alias("_level"), F.lit(None).cast("string").alias("_parent"),
+        F.lit(None).cast("bigint").alias("_number"), "_below",
     )
     tops = settle(tops, "tops")
-    clash = tops.filter("_mixed").select("_folder", F.col("_name").alias("_family"), "_below", "_mixed")
-    below = attach(numbered, clash, ["_family", "_folder"], ["_name"], "_below", hot_rows).filter("_mixed")
-    columns = [*names.columns, "_level", "_parent", "_number", "_mixed"]
-    return tops.select(*columns).unionByName(below.select(*columns))
+    clash = tops.select("_folder", F.col("_name").alias("_family"), "_below", F.lit(True).alias("_clash"))
+    below = attach(numbered, clash, ["_family", "_folder"], ["_name"], "_below", hot_rows).filter("_clash")
+    columns = [*tailed.columns, "_level", "_parent", "_number"]
+    mixed = settle(tops.select(*columns).unionByName(below.select(*columns)), "names")
+    return None if mixed.isEmpty() else mixed
+
+
+def _marks(
+    wants: DataFrame, mixed: DataFrame, hot: DataFrame | None, order_cols: list[str], hot_rows: int | None
+) -> DataFrame:
+    """Per name wanted beside its parent, the files that want the parent before the first that wants the name: ``_earlier``."""
+    beside = mixed.filter("_level > 0 AND _want > 0 AND NOT _on_disk").select("_folder", "_name", "_parent")
+    first = (
+        wants.filter(file_stem("_name").rlike(NUMBER_TAIL))
+        .groupBy("_folder", "_name")
+        .agg(F.min(F.struct(*order_cols)).alias("_first"))
+        .join(beside, ["_folder", "_name"])
+        .select("_folder", F.col("_parent").alias("_name"), "_first.*", F.col("_name").alias("_child"))
+    )
+    first = settle(first, "first")
+    parents = mixed.filter("_want > 0").select("_folder", "_name", "_want").join(
+        first.select("_folder", "_name").distinct().withColumn("_is_parent", F.lit(True)), ["_folder", "_name"]
+    )
+    files = attach(wants, settle(parents, "parents"), ["_name", "_folder"], order_cols, "_want", hot_rows).filter("_is_parent")
+    events = files.select(*wants.columns, F.lit(1).alias("_file")).unionByName(
+        first.withColumn("_file", F.lit(0)), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy("_folder", "_name", "_slot").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    counted = slotted(events, hot, ["_folder", "_name"], order_cols).withColumn(
+        "_earlier", F.col("_before") + F.sum("_file").over(so_far)
+    )
+    return settle(counted.filter("_child IS NOT NULL").select("_folder", "_child", "_earlier"), "marks")
 
 
 def resolve_destinations(
@@ -133,69 +160,69 @@ def resolve_destinations(
     ``last_number`` bounds N; files beyond it get an error. Without it every
     file gets a name. ``taken`` holds the ``destination`` paths already on disk.
 
-    Three cases, cheapest first: nobody else wants the name; several files want
-    it but no numbered name is in the way (the number is then the rank); numbered
-    names stand beside it (:mod:`.numbering`).
+    The files go through one shuffle by name, in which their rank is the number;
+    names that are gone stand among them as rows of their own. Only files of a
+    name with numbered names in the way go through a second, by rank, which
+    adds the numbers passed over (:mod:`.numbering`). Names of very many files
+    are cut into slots (:mod:`.prefix`).
     """
-    order_cols = list(order_cols)
-    # Never NULL, so that joins on them need no not-null filters.
+    order_cols, name = list(order_cols), ["_folder", "_name"]
+    # Never NULL, so that they can be keys.
     rows = planned.withColumn("_folder", F.coalesce(parent_dir("location"), F.lit(""))).withColumn(
         "_name", F.coalesce(file_name("location"), F.lit(""))
     )
-    wants = rows.select("_folder", "_name", *order_cols)
-    names = settle(_contested(_names(wants, taken), hot_rows), "names")
-    facts = names.filter(F.col("_want") > 0).select("_folder", "_name", "_want", "_on_disk", "_stem", "_suffix", "_mixed")
-    rivals = attach(wants, facts, ["_name", "_folder"], order_cols, "_want", hot_rows).filter(F.col("_stem").isNotNull())
-
-    # Files ranked within their name; among them, marks of the first file that wants each numbered name beside it.
-    beside = names.filter("_level > 0 AND _want > 0 AND NOT _on_disk").select("_folder", "_name", "_parent")
-    first = (
-        wants.join(beside, ["_folder", "_name"])
-        .groupBy("_folder", "_name", "_parent")
-        .agg(F.min(F.struct(*order_cols)).alias("_first"))
-        .select("_folder", F.col("_parent").alias("_name"), "_first.*", F.col("_name").alias("_child"))
-    )
-    name = ["_folder", "_name"]
-    ranged = sliced(rivals.withColumn("_file", F.lit(1)).unionByName(first, allowMissingColumns=True), name, order_cols)
-    ranked = running(ranged, name, order_cols, {"_claim": (SUM, F.col("_file").cast("bigint"))})
-    claims = ranked.filter("_file = 1").drop("_child", "_slice", "_file", "_want")
-    if last_number is not None:
-        claims = claims.filter(F.col("_claim") <= last_number + 1)
-    alone = claims.filter(~F.col("_mixed")).select(
-        *order_cols, "_folder", "_name", "_stem", "_suffix", (F.col("_claim") - 1 + F.col("_on_disk").cast("bigint")).alias("_number")
+    wants = rows.select(*name, *order_cols)
+    gone = None if taken is None else taken.select(
+        F.coalesce(parent_dir("destination"), F.lit("")).alias("_folder"),
+        F.coalesce(file_name("destination"), F.lit("")).alias("_name"),
     )
-    mixed = names.filter("_mixed")
-    if mixed.isEmpty():
-        numbered = alone
+    hot = crowded(wants, name, order_cols, hot_rows)
+    mixed, steps = _mixed(_claims(wants, gone), hot_rows), None
+    if mixed is not None:
+        lost, steps = served(mixed, _marks(wants, mixed, hot, order_cols, hot_rows), last_number, hot_rows)
+        gone = lost if gone is None else gone.unionByName(lost)
+
+    # What is known of a name, as rows before its files.
+    no, yes = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    known = None if gone is None else gone.select(*name, yes.alias("_gone"), no.alias("_stepped"))
+    if steps is not None:
+        stepped = steps.select(*name).distinct().select(*name, no.alias("_gone"), yes.alias("_stepped"))
+        known = stepped if known is None else known.unionByName(stepped)
+    files = rows.withColumn("_file", F.lit(1))
+    if hot is not None and known is not None:
+        facts = known.join(F.broadcast(hot.select(*name)), name).groupBy(*name).agg(
+            F.max("_gone").alias("_gone"), F.max("_stepped").alias("_stepped")
+        )
+        hot = hot.join(settle(facts, "facts"), name, "left")
+    files = slotted(files, hot, name, order_cols)
+    if known is not None:
+        files = files.unionByName(
+            known.withColumns({"_file": F.lit(0), "_slot": F.lit(0), "_before": no}), allowMissingColumns=True
+        )
     else:
-        marks = ranked.filter("_child IS NOT NULL").select("_folder", "_child", F.col("_claim").alias("_earlier"))
-        among = claims.filter("_mixed")
-        given = served(mixed, among.select(*name, *order_cols, "_claim"), marks, order_cols, last_number, hot_rows)
-        numbered = alone.unionByName(
-            among.select(*order_cols, "_folder", "_name", "_stem", "_suffix").join(given, order_cols).select(*alone.columns)
+        files = files.withColumns({"_gone": no, "_stepped": no})
+    so_far = Window.partitionBy(*name, "_slot").orderBy("_file", *order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    # Rank 0 is the name itself; it is not given if the name is gone.
+    rank = F.col("_before") + F.sum("_file").over(so_far) - 1 + F.coalesce(F.max("_gone").over(so_far), no)
+    ranked = files.select(
+        *planned.columns, *name, "_file", rank.alias("_rank"), F.coalesce(F.max("_stepped").over(so_far), no).alias("_stepped")
+    ).filter("_file = 1").drop("_file")
+    if steps is None:
+        numbered = ranked.withColumn("_number", F.col("_rank"))
+    else:
+        passed = passed_over(ranked.filter("_stepped = 1"), steps, hot_rows)
+        number = F.when(F.col("_rank") > 0, F.col("_rank") + F.col("_skipped")).otherwise(F.col("_rank"))
+        numbered = ranked.filter("_stepped = 0").withColumn("_number", F.col("_rank")).unionByName(
+            passed.withColumn("_number", number).drop("_skipped")
         )
     too_far = F.lit(False) if last_number is None else F.col("_number") > last_number
-    given = numbered.select(
-        *order_cols,
-        F.when(too_far, F.lit(None))
-        .when(F.col("_number") == 0, F.concat("_folder", F.lit("/"), "_name"))
-        .otherwise(_numbered("_folder", "_stem", "_suffix", F.col("_number")))
-        .alias("_given"),
-        F.lit(True).alias("_served"),
-    )
-    placed = rows.join(given, order_cols, "left")
-    free = F.col("_served").isNull()
-    if last_number is not None:
-        # Files past the last number were not served at all; only names wanted that often have any.
-        crowded = facts.filter(F.col("_want") > last_number + 1).select(
-            "_folder", "_name", "_want", F.lit(True).alias("_crowded")
-        )
-        placed = attach(placed, crowded, ["_name", "_folder"], order_cols, "_want", hot_rows)
-        free = free & F.col("_crowded").isNull()
-    return placed.select(
+    return numbered.select(
         *planned.columns,
-        F.when(free, F.col("location")).otherwise(F.col("_given")).alias("destination"),
-        F.when(~free & F.col("_given").isNull(), _crowded(F.col("location"))).alias("error"),
+        F.when(too_far, F.lit(None))
+        .when(F.col("_number") == 0, F.col("location"))
+        .otherwise(_numbered("_folder", "_name", F.col("_number")))
+        .alias("destination"),
+        F.when(too_far, _crowded(F.col("location"))).alias("error"),
     )
 
 

@@ -20,12 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
 from .prefix import MAX, SUM, running, sliced
-from .skew import attach
+from .skew import HOT_ROWS, attach
 
 #: Rounds of bounds before the numbers still open are counted through one after another.
 ROUNDS = 6
@@ -91,22 +91,23 @@ def _counted(state: DataFrame) -> DataFrame:
 
 
 def served(
-    names: DataFrame, claims: DataFrame, marks: DataFrame, order_cols: list[str], last_number: int | None, hot_rows: int | None
-) -> DataFrame:
-    """``order_cols`` and ``_number`` of the claims on names of mixed families; number 0 is the name itself.
+    names: DataFrame, marks: DataFrame, last_number: int | None, hot_rows: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The names of mixed families that claims on the name above take away, and the numbers each name's claims pass over.
 
     ``names``: the names, with ``_level`` (0: no wanted name above), ``_parent``
-    and ``_number`` (which numbered name of the parent it is). ``claims``: files
-    with ``_claim``, their rank among the files that want their name. ``marks``:
-    per child, how many files want the parent before the first one wants the
-    child (``_earlier``).
+    and ``_number`` (which numbered name of the parent it is). ``marks``: per
+    child, how many files want the parent before the first one wants the child
+    (``_earlier``). The second table has ``_folder, _name, _rank, _passed``:
+    from the claim of that rank on, ``_passed`` numbers have been passed over;
+    and ``_rivals``, the claims on the name.
     """
     depth = names.agg(F.max("_level")).first()[0] or 0
     children = names.filter("_level > 0").join(
         marks.select("_folder", F.col("_child").alias("_name"), "_earlier"), ["_folder", "_name"], "left"
     )
     gone = names.filter("_level = 0 AND _want > 0").select("_folder", "_name", "_want", F.col("_on_disk").alias("_gone"))
-    every, steps = gone, None
+    lost, steps = None, None
     for level in range(depth):
         parents = gone.select(
             "_folder", F.col("_name").alias("_parent"), F.col("_want").alias("_rivals"), F.col("_gone").cast("bigint").alias("_from")
@@ -119,24 +120,38 @@ def served(
         if last_number is not None:
             claimed = claimed & (F.col("_number") <= last_number)
         decided = settle(decided.withColumn("_gone", F.col("_on_disk") | claimed), "level")
-        # From the claim of this rank on, one more number has been passed over.
         passed = decided.filter("_skip").groupBy(
             "_folder", F.col("_parent").alias("_name"), (F.col("_number") - F.col("_below")).alias("_rank")
-        ).agg(F.max(F.col("_below") + 1).alias("_passed"))
+        ).agg(F.max(F.col("_below") + 1).alias("_passed"), F.max("_rivals").alias("_rivals"))
         steps = passed if steps is None else steps.unionByName(passed)
         gone = decided.filter("_want > 0").select("_folder", "_name", "_want", "_gone")
-        every = every.unionByName(gone)
+        taken = gone.filter("_gone").select("_folder", "_name")
+        lost = taken if lost is None else lost.unionByName(taken)
+    none = names.limit(0).select("_folder", "_name")
+    # Ranks end at the number of claims.
+    return (none if lost is None else lost), (None if steps is None else settle(steps.filter("_rank <= _rivals"), "steps"))
 
-    ranked = attach(claims, every, ["_name", "_folder"], order_cols, "_want", hot_rows)
-    ranked = ranked.withColumn("_rank", F.col("_claim") - 1 + F.col("_gone").cast("bigint")).select(
-        "_folder", "_name", "_rank", *order_cols
+
+def passed_over(ranked: DataFrame, steps: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Adds ``_skipped``, the numbers passed over at ``_rank`` of the name, to files.
+
+    Names of very many files are cut by rank; each cut starts with what the
+    steps before it passed over.
+    """
+    share = HOT_ROWS if hot_rows is None else hot_rows
+    turn = F.floor(F.col("_rank") / share)
+    placed = steps.groupBy("_folder", "_name", turn.alias("_turn")).agg(F.max("_passed").alias("_passed"))
+    turns = steps.groupBy("_folder", "_name").agg(F.floor(F.max("_rivals") / share).alias("_turns")).filter("_turns > 0").select(
+        "_folder", "_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_turns"))).alias("_turn")
+    )
+    earlier = Window.partitionBy("_folder", "_name").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    carried = turns.join(placed, ["_folder", "_name", "_turn"], "left").select(
+        "_folder", "_name", "_turn", (F.col("_turn") * share).alias("_rank"), F.max("_passed").over(earlier).alias("_passed")
     )
-    if steps is None:
-        return ranked.select(*order_cols, F.col("_rank").alias("_number"))
-    events = ranked.withColumn("_passed", F.lit(None).cast("bigint")).withColumn("_file", F.lit(1)).unionByName(
-        steps.withColumn("_file", F.lit(0)), allowMissingColumns=True
+    events = steps.select("_folder", "_name", turn.alias("_turn"), "_rank", "_passed").unionByName(carried.filter("_passed IS NOT NULL"))
+    rows = ranked.withColumn("_turn", turn).withColumn("_file", F.lit(1)).unionByName(
+        events.withColumn("_file", F.lit(0)), allowMissingColumns=True
     )
-    name, order = ["_folder", "_name"], ["_rank", "_file"]
-    passed = running(sliced(events, name, order), name, order, {"_skipped": (MAX, F.col("_passed"))})
-    number: Column = F.col("_rank") + F.when(F.col("_rank") > 0, F.coalesce("_skipped", F.lit(0))).otherwise(0)
-    return passed.filter("_file = 1").select(*order_cols, number.alias("_number"))
+    so_far = Window.partitionBy("_folder", "_name", "_turn").orderBy("_rank", "_file").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_skipped", F.coalesce(F.max("_passed").over(so_far), F.lit(0)))
+    return counted.filter("_file = 1").select(*ranked.columns, "_skipped")

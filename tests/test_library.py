@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stowage.operators import library as lib
 from stowage.operators import planning as pl
 from stowage.operators.numbering import decide_skips
+from stowage.operators.prefix import crowded, slotted
 
 PLANNED = "archive string, entry_ix bigint, location string"
 
@@ -74,6 +75,28 @@ def test_one_name_wanted_by_nearly_all(rows):
     assert got == in_turn(planned, [], 4) and list(got.values()).count(None) == 355
 
 
+def test_files_go_through_one_shuffle(spark, rows):
+    planned = spark.range(3000).selectExpr("'z' AS archive", "id AS entry_ix", "'o/a' || (id % 700) || '.jpg' AS location")
+    disk = rows([("o/a5.jpg",), ("o/a9.jpg",)], "destination string")
+    placed = lib.resolve_destinations(planned, disk)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.archive, r.entry_ix): r.destination for r in placed.collect()}
+    assert got == in_turn([tuple(r) for r in planned.collect()], ["o/a5.jpg", "o/a9.jpg"], None)
+
+
+def test_slots_of_a_crowded_key_keep_the_order(spark):
+    order = ["a", "b"]
+    df = spark.range(5000).selectExpr("IF(id % 5 = 0, concat('k', id), 'k') AS key", "nullif(id % 7, 3) AS a", "id AS b")
+    hot = crowded(df, ["key"], order, 500)
+    cut = slotted(df, hot, ["key"], order).filter("key = 'k'").collect()
+    assert [r.key for r in hot.collect()] == ["k"] and len({r._slot for r in cut}) > 4
+    cut.sort(key=lambda r: (r.a is not None, r.a or 0, r.b))
+    assert [r._slot for r in cut] == sorted(r._slot for r in cut)
+    first = {r._slot: i for i, r in reversed(list(enumerate(cut)))}
+    assert all(r._before == first[r._slot] for r in cut)
+
+
 def test_numbers_beside_one_name_wanted_by_nearly_all(spark):
     # One family of 200,000 wants: a.jpg, its numbered names wanted late and early, and some on disk.
     df = spark.range(200_000).selectExpr(
