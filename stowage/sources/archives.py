@@ -22,7 +22,8 @@ from .content import open_fs, stream_key
 from .directories import TASKS_PER_CORE, list_directory
 
 MEMBERS_PER_CHUNK = 512
-BATCH_BYTES = 32 << 20
+#: Content handed on at a time. A worker holds it as values, as a column and as Arrow.
+BATCH_BYTES = 4 << 20
 ROWS_PER_BATCH = 10_000
 # What a damaged, encrypted or unknown archive raises. Anything else (memory, network) fails the task, which is tried again.
 BROKEN = (

@@ -291,3 +291,39 @@ def test_folders_of_others_are_not_replaced(spark, tmp_path):
     (tmp_path / "r" / "types" / "mine.txt").write_text("x")
     with pytest.raises(ValueError):
         mf.write_report({"types": df}, str(tmp_path / "r"))
+
+
+def test_content_goes_on_in_small_batches(tmp_path):
+    # A worker that holds 32 MB of content as values, column and Arrow needs a multiple of it.
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(24):
+            z.writestr(f"{i}.bin", bytes(1 << 20))
+    pdf = pd.DataFrame({"archive": path, "entry_ix": range(24)})
+    batches = list(ar._per_member(lambda z, m: z.read(m), "content")(iter([pdf])))
+    assert sum(map(len, batches)) == 24 and max(b["content"].map(len).sum() for b in batches) <= 6 << 20
+
+
+def test_exports_hold_one_small_batch(spark, tmp_path):
+    from stowage.suite import exports
+
+    rows = spark.range(0, 40, 1, 1).selectExpr(
+        "concat('z', id % 2, '.zip') AS archive", "id AS entry_ix", "concat('p/', id) AS file_path", "cast(repeat(id, 500000) AS binary) AS content",
+        "2020 AS zip_y", "1 AS zip_mo", "2 AS zip_d", "3 AS zip_h", "4 AS zip_mi", "6 AS zip_s",
+    )
+    held = str(tmp_path / "held")
+
+    def write(batches):
+        with open(held, "a") as out:
+            for batch in batches:
+                out.write(f"{batch.nbytes}\n")
+                yield batch.select(["file_path"])
+
+    before = spark.conf.get(exports.BATCH_CONF)
+    exports._run(rows, write, "file_path string")
+    sizes = [int(line) for line in open(held)]
+    assert len(sizes) > 2 and max(sizes) < 8 << 20 and spark.conf.get(exports.BATCH_CONF) == before
+    exports.export_archives(rows, str(tmp_path / "zips"))
+    got = {(r.archive.rsplit("/", 1)[1], r.file_path): r for r in ar.read_archives(spark, str(tmp_path / "zips"), with_content=True).collect()}
+    assert len(got) == 40 and all(bytes(r.content) == name[2:].encode() * 500_000 for (_, name), r in got.items())
+    assert {zipped for zipped, _ in got} == {"z0-0.zip", "z1-0.zip"} and got["z1-0.zip", "p/39"].entry_ix == 19
